@@ -1,4 +1,6 @@
 """All queries of the core and the SQL that says the same."""
 
-QUERIES: dict = {}
+from . import training
+
+QUERIES: dict = {**training.QUERIES}
 SQL: dict = {}

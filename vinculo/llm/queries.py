@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, components, splitting, survivorship
+from . import bpe, canonical, components, splitting, survivorship
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,15 @@ def p1_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("label", "group_name").agg(F.count("*").alias("n_names"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.resolve(table(spark, d, "category_mention"), table(spark, d, "hq_location"), table(spark, d, "ref_item"))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The report of values that no item of the list means: how many per field."""
+    return p2_found(spark, d).groupBy("field").agg(F.sum(F.when(F.col("ref_id") == 0, 1).otherwise(0)).alias("n_unmatched"), F.count("*").alias("n_cases"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "input_enriched"), "content_id", "content")
 
@@ -42,7 +51,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode(p7_ids(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p3_found, p3_pieces, p4_found, p4_survivors, p7_ids, p7_decoded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_survivors, p7_ids, p7_decoded)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT content_id FROM input_enriched WHERE length(content) > 6000",

@@ -26,7 +26,7 @@ from ..runtime import discard, durable, lookup
 
 #: Edges that one cell should hold; sets only the number of cells.
 CELL_EDGES = 200_000
-MIN_BLOCKS, MAX_BLOCKS = 4, 128
+FIRST_BLOCKS, MAX_BLOCKS = 4, 128
 
 
 def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,9 +48,9 @@ def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent = up
 
 
-def blocks_for(edges: int) -> int:
+def blocks_for(edges: int, least: int = 1) -> int:
     """So many blocks that a cell of the triangular grid holds about CELL_EDGES edges."""
-    return max(MIN_BLOCKS, min(MAX_BLOCKS, math.ceil(math.sqrt(2 * edges / CELL_EDGES))))
+    return max(least, min(MAX_BLOCKS, math.ceil(math.sqrt(2 * edges / CELL_EDGES))))
 
 
 def _forests(edges: DataFrame, blocks: int) -> DataFrame:
@@ -75,7 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
     gone: list[DataFrame] = []
     n = edges.count()
     while n:
-        seen = durable(_forests(edges, blocks_for(n)).groupBy("v").agg(F.collect_set("rep").alias("reps")).select("v", "reps", F.array_min("reps").alias("p")))
+        seen = durable(_forests(edges, blocks_for(n, 1 if gone else FIRST_BLOCKS)).groupBy("v").agg(F.collect_set("rep").alias("reps")).select("v", "reps", F.array_min("reps").alias("p")))
         if edges is not first:
             discard(edges)
         gone.append(durable(seen.where(~F.array_contains("reps", F.col("v"))).select("v", "p")))

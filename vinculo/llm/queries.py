@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, canonical, components, splitting, survivorship
+from . import bpe, canonical, components, names, splitting, survivorship
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,10 @@ def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.survivors(table(spark, d, "company_record"), table(spark, d, "source_trust"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variants(table(spark, d, "entity_name"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -51,7 +55,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode(p7_ids(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_survivors, p7_ids, p7_decoded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_survivors, p5_found, p7_ids, p7_decoded)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT content_id FROM input_enriched WHERE length(content) > 6000",

@@ -7,12 +7,14 @@ import unicodedata
 from functools import lru_cache
 
 INVISIBLE = re.compile(r"[­​-‏‪-‮⁠﻿]")
+#: Letters that don't decompose into a plain one and an accent. Fixed values.
+LETTERS = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i"})
 
 
 @lru_cache(maxsize=200_000)
 def fold(text: str) -> str:
     """Lower case without accents, invisible characters and doubled blanks; letters that don't decompose stay."""
-    text = INVISIBLE.sub("", text)
+    text = INVISIBLE.sub("", text).translate(LETTERS)
     text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold())
     text = "".join(c for c in text if not unicodedata.combining(c))
     return " ".join(text.split())
@@ -66,42 +68,58 @@ def segments(text: str, k: int) -> list[tuple[int, int, str]]:
     return [(i, cuts[i], text[cuts[i] : cuts[i + 1]]) for i in range(parts)]
 
 
+def letters(text: str) -> int:
+    """The set of a text's characters as a bit mask of 64; each edit changes at most two bits."""
+    mask = 0
+    for c in text:
+        mask |= 1 << (ord(c) & 63)
+    return mask
+
+
 class SegmentIndex:
-    """An inverted index of the segments of some strings, for look-ups within k edits.
+    """An inverted index of the segments of some strings, for look-ups within the edits that their lengths allow.
 
-    Of k + 1 segments at least one survives k edits where swaps of neighbours may cost two, so 2k + 1 segments are
-    cut; a survivor is found at a place shifted by at most k.
+    A string that may differ by k edits is cut into 2k + 1 segments, as a swap of neighbours can spoil two; one of them
+    survives and is found at a place shifted by at most k. Hits whose letters differ too much aren't compared.
     """
 
     def __init__(self, strings, edits):
         self.edits = edits
-        self.index: dict[tuple[int, int, str], list[tuple[int, str]]] = {}
-        self.short: dict[int, set[str]] = {}
-        for s in set(strings):
-            k = edits(len(s))
-            for number, start, part in segments(s, self._cuts(k)):
-                self.index.setdefault((len(s), number, part), []).append((start, s))
-
-    @staticmethod
-    def _cuts(k: int) -> int:
-        return 2 * k
+        self.masks = {s: letters(s) for s in strings}
+        self.parts: dict[tuple[int, int], dict[str, list[str]]] = {}
+        self.plans: dict[int, list] = {}
+        for s in self.masks:
+            for number, _, part in segments(s, 2 * edits(len(s))):
+                self.parts.setdefault((len(s), number), {}).setdefault(part, []).append(s)
 
-    def search(self, text: str) -> dict[str, int]:
-        """The strings within the edits allowed for the longer of the two, with their distances."""
-        found: dict[str, int] = {}
-        n = len(text)
-        most = self.edits(n + 3)
-        for length in range(max(1, n - most), n + most + 1):
+    def _plan(self, n: int) -> list:
+        """What a text of n characters looks up: (edits, index, places, size)."""
+        plan = []
+        for length in sorted({length for length, _ in self.parts}):
             k = self.edits(length)
             if abs(length - n) > k:
                 continue
-            parts = min(self._cuts(k) + 1, length)
-            for number in range(parts):
-                start, end = number * length // parts, (number + 1) * length // parts
-                size = end - start
-                for at in range(max(0, start - k), min(n - size, start + k) + 1):
-                    for _, s in self.index.get((length, number, text[at : at + size]), ()):
-                        if s not in found:
+            count = min(2 * k + 1, length)
+            for number in range(count):
+                start, end = number * length // count, (number + 1) * length // count
+                places = range(max(0, start - k), min(n - (end - start), start + k) + 1)
+                if places and (length, number) in self.parts:
+                    plan.append((k, self.parts[length, number], [(at, at + end - start) for at in places]))
+        return plan
+
+    def search(self, text: str) -> dict[str, int]:
+        """The strings within their edits of the text, with the distances."""
+        plan = self.plans.get(len(text))
+        if plan is None:
+            plan = self.plans[len(text)] = self._plan(len(text))
+        own, masks, seen, found = letters(text), self.masks, set(), {}
+        for k, index, places in plan:
+            for start, end in places:
+                for s in index.get(text[start:end], ()):
+                    if s not in seen:
+                        seen.add(s)
+                        if (own ^ masks[s]).bit_count() <= 2 * k:
                             d = banded_distance(text, s, k)
-                            found[s] = d if d <= k else 99
-        return {s: d for s, d in found.items() if d < 99}
+                            if d <= k:
+                                found[s] = d
+        return found

@@ -230,4 +230,4 @@ def _parsed(amount: pd.Series, currency: pd.Series, note: pd.Series) -> pd.DataF
 
 def stated_sum(amount: Column, currency: Column, note: Column) -> Column:
     """The struct of quantity and unit; both null where no sum is stated."""
-    return _parsed(amount, currency, note)
+    return _parsed.asNondeterministic()(amount, currency, note)  # else a filter on the result would run it twice

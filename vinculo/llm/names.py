@@ -27,9 +27,9 @@ from ..runtime import durable
 from .components import components
 from .strings import INVISIBLE, SegmentIndex, banded_distance, fold
 
-#: A word is common to a label if it stands in this share of its distinct names (and at least so many): at most
-#: WORDS_PER_NAME / COMMON_SHARE words are, at any size.
-COMMON_SHARE, COMMON_LEAST = 0.002, 12
+#: A word is common to a label if it has so many different neighbours, as a share of the label's distinct names and at
+#: least; so at most twice the words of a name / COMMON_SHARE are, at any size.
+COMMON_SHARE, COMMON_LEAST = 0.002, 5
 # Forms and titles that identify nobody, usual words of firm names and their short forms, nicknames.
 LEGAL = set("inc incorporated llc llp lp ltd limited gmbh ag kg co corp corporation sa sarl srl spa plc bv nv oy ab as aps pty kk the".split())
 COMPANY_TAILS = set("group technologies technology startup hq company".split())
@@ -83,7 +83,7 @@ class Reader:
             drop = LEGAL | (COMPANY_TAILS if label == "Company" else set())
             self.drop = drop
             self.known = {w for w in common if w.isalpha() and len(w) > 3 and w not in drop and w not in SHORT_WORDS and re.search("[aeiou]", w[1:])} | DESCRIPTORS | (set() if label == "Company" else {"group"})
-            self.near = SegmentIndex({w for w in self.known if len(w) > 4}, lambda n: 1 if n < 8 else 2)
+            self.near = SegmentIndex({w for w in self.known | drop if len(w) > 4}, lambda n: 1 if n < 6 else 2)
             self.memo: dict[str, str | None] = {}
 
     def read(self, name: str) -> list[tuple[str, str, str, str, list[str]]]:
@@ -151,6 +151,7 @@ class Reader:
             out = SHORT_WORDS[w]
         elif len(w) > 3 and (found := self.near.search(w)):
             out = min(found, key=lambda g: (found[g], g))
+            out = "" if out in self.drop else out
         elif len(w) > 2:
             fits = [k for k in DESCRIPTORS if k.startswith(w)]
             if not fits and not re.search("[aeiou]", w[1:]):
@@ -172,7 +173,7 @@ class Reader:
                 number = w
                 continue
             d = self._descriptor({"grp": "group"}.get(w, w)) if len(ws) > 1 else None
-            if d:
+            if d is not None:
                 beside |= set(d.split())
             else:
                 core.append(w)
@@ -215,13 +216,19 @@ def compatible(a: str, b: str) -> bool:
 
 
 def common_words(words: DataFrame) -> dict[str, Counter]:
-    """Per label the words that many of its names share; ``words`` are ``label, words`` of distinct names."""
-    sizes = {r["label"]: r["count"] for r in words.groupBy("label").count().orderBy(F.desc("count")).limit(64).collect()}
-    counts = words.select("label", F.explode(F.array_distinct("words")).alias("w")).groupBy("label", "w").count()
-    least = F.greatest(F.lit(float(COMMON_LEAST)), F.col("n") * COMMON_SHARE)
-    totals = words.groupBy("label").agg(F.count("*").alias("n"))
-    out: dict[str, Counter] = {label: Counter() for label in sizes}
-    for r in counts.join(F.broadcast(totals.orderBy(F.desc("n")).limit(64)), "label").where(F.col("count") >= least).collect():
+    """Per label the words that stand beside many different words; ``words`` are ``label, words`` of distinct names.
+
+    A first name or ``Logistics`` has many neighbours, a surname has those of one or two people. Only the labels with
+    the most names are looked at, more than any graph has.
+    """
+    totals = words.groupBy("label").agg(F.count("*").alias("names")).orderBy(F.desc("names"), "label").limit(64)
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(F.get("words", i).alias("w"), F.get("words", i + 1).alias("o")))
+    beside = words.where(F.size("words") > 1).select("label", F.inline(pairs))
+    beside = beside.unionByName(beside.select("label", F.col("o").alias("w"), F.col("w").alias("o")))
+    beside = beside.where((F.length("w") > 1) & (F.length("o") > 2)).distinct().groupBy("label", "w").count()
+    least = F.greatest(F.lit(float(COMMON_LEAST)), F.col("names") * COMMON_SHARE)
+    out: dict[str, Counter] = {r["label"]: Counter() for r in totals.collect()}
+    for r in beside.join(F.broadcast(totals), "label").where(F.col("count") >= least).collect():
         out[r["label"]][r["w"]] = r["count"]
     return out
 

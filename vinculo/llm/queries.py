@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, canonical, components, names, splitting, survivorship
+from . import bpe, canonical, components, names, packing, residue, splitting, survivorship
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,28 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return bpe.decode(p7_ids(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_survivors, p5_found, p7_ids, p7_decoded)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(bpe.count_tokens(table(spark, d, "documents")), "doc_id", "n_tokens")
+
+
+def p8_slack(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, and the least number that could do."""
+    full = p8_containers(spark, d).groupBy("container_id").agg(F.sum("size").alias("tokens"))
+    total = F.coalesce(F.sum("tokens"), F.lit(0))
+    return full.agg(F.count("*").alias("n_containers"), total.alias("tokens"), F.ceil(total / packing.CAPACITY).alias("least_containers"), F.max("tokens").alias("fullest"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the documents that stay."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id").join(residue.residue(docs), "doc_id", "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_survivors, p5_found, p7_ids, p7_decoded, p8_containers, p8_slack, p9_found, p9_clean)}
 
 SQL = {
     "p3_found": "SELECT DISTINCT content_id FROM input_enriched WHERE length(content) > 6000",

@@ -30,6 +30,8 @@ DEPTH, SIMILARITY = 3, 0.6
 #: A template is a companion of messages if so many of its documents have one.
 COMPANION_SHARE = 0.8
 SHORT = 60
+#: Distinct masks that one task mines; sets only the number of tasks.
+LEAF_MASKS = 20_000
 
 # The marks of template languages, as regular expressions that Java and Python read alike.
 _word = r"[\p{L}\p{N}_][\p{L}\p{N}_ .:'-]{0,48}"
@@ -43,11 +45,13 @@ SLOTS = [
     r"\((?:insert|add your|enter|put your) [^()\n]{1,50}\)",
 ]
 SLOT = "|".join(SLOTS)
-#: Cheap marks one of which every slot has.
-SLOT_HINT = r"[{}$%#<>\[\]«*@]|__|XXX|&lt;|YOUR_|\((?:insert|add|enter|put) "
+#: Marks one of which every slot has, quick to look for.
+SLOT_HINT = r"[{<\[«]|@@|##|__|\*\||XXX |&lt;|YOUR_|%[\p{Lu}(]|\$\p{Lu}|\((?:insert|add|enter|put) "
 ABOUT_SYNTAX = r"(?i)`|\b(?:write|type|syntax|brackets?|braces|placeholders?|templates?|variables?|markup|quoted as|notation|tags?|macros?|escap(?:e|ed|ing)|schreib\w*|escrib\w*|écri\w*|escrev\w*)\b"
 CODE = r"(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)|`[^`\n]*`"
-CUT = r"[\r\n\x0b\x0c\u0085  ]+|(?<=[.!?…])[\s ]+|(?<=[。！？])"
+LINE_MARKS = "。！？"
+CUT = "[\r\n\x0b\x0c\u0085\u2028\u2029]+|[ \t\u00a0](?<=[.!?…][ \t\u00a0])[ \t\u00a0]*"
+VISIBLE = "[^\\s\u00a0\u00ad\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 
 # What messages and filler say, in the languages of the corpus.
 _scripts = r"(?:java ?script|js|(?:client-side )?script(?:s|ing)?(?: execution)?|cookies)"
@@ -79,6 +83,14 @@ MESSAGES = re.compile(
     ),
     re.I,
 )
+#: Every message has one of these in lower case; looking for them first saves most of the time.
+HINTS = (
+    "script|js|cookie|activate it|enable it|turn on it|switch on it|allow it|browser|navegador|navigateur|human|robot|captcha|traffic|nothing|loading|ddos|ray id|ブラウザ|スクリプト|404|403|401|400|408|410|429|500|502|503|504|not |n't |n’t |found|exist|available|matches|lives|to see|could be|can be|no longer|moved|expired|removed|deleted|taken down|suspended|"
+    "disabled|broken|error|gateway|unavailable|timed|time-out|timeout|too many|rate limit|too long|err_|condition|went wrong|snag|uncaught|exception|nullref|stack trace|handshake|connection|fetch failed|gone away|warning:|segmentation|resolve host|unable to|{|oops|try again|come back|refresh|reload|maintenance|back shortly|please |"
+    "gefunden|erreichbar|verfügbar|nicht|fehler|versuchen|erneut|verweigert|berechtigung|wartung|gewartet|sitzung|encontrada|existe|disponible|vuelva|inténtelo|denegado|prohibido|mantenimiento|sesión|permiso|servicio|introuvable|trouvée|erreur|réessayer|refusé|interdit|indisponible|session|autorisation|erro |tente|negado|proibido|manutenção|sessão|permissão|indisponível|"
+    "見つか|確認|エラー|しばらく|再度|アクセス|権限|メンテ|表示|有効|存在|期限|利用|denied|forbidden|unauthorized|allowed|authori|permi|sign in|log in|signed|logged|private|account|country|region|blocked|administrator|members only|subscribers|token|construction|in progress|coming soon|watch this|will follow|still writing|on its way|yet|when we open|for sale|this domain|parked|closed|not ready|being|opening soon|launching|"
+    "aufbau|bearbeitung|demnächst|bald|próximamente|bientôt|venir|em breve|construção|construcción|準備中|工事中|公開|privat|profil privé|perfil|lorem|dolor sit|dummy|sample|filler|placeholder|example|here|click|replace|this space|paragraph|describe your|caption|section title|headline|words to fill|fill up|type your|edit |edit this|layout|goes|blindtext|platzhalter|steht|texto|texte|ダミー|文章|サンプル|テキスト|仮の|will be"
+).split("|")
 FIELD = re.compile(r"^[\w -]{2,24}\*?\s*[:：]\s*(?:text|description|answer|value|content|title|name|to be (?:written|added|defined|filled)|tbd|tba|tbc|todo|xxx+|lorem|n/?a|\.{2,}|…|-+|_+)\.?$", re.I)
 LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat vel quam tempus sapien mattis luctus viverra ornare gravida mollis nulla pellentesque fermentum vestibulum".split())
 WORDS = re.compile(r"\w+")
@@ -93,7 +105,8 @@ def classify(segment: str) -> str:
         return "neutral" if not re.match(r"(?:error |http )?[45]\d\d\W*$", s, re.I) else "message"
     if len(words) >= 6 and len(set(words)) <= max(2, len(words) // 12):
         return "message"
-    if FIELD.match(s) or len(words) <= 45 and MESSAGES.search(s):
+    low = s.lower()
+    if FIELD.match(s) or len(words) <= 45 and any(h in low for h in HINTS) and MESSAGES.search(s):
         return "message"
     latin = sum(w in LATIN for w in words)
     if latin >= 2 and latin >= 0.2 * len(words) and len({w for w in words if w in LATIN}) >= 2:
@@ -105,8 +118,8 @@ def classify(segment: str) -> str:
 
 def mask(c: Column) -> Column:
     """A segment with numbers and reference codes masked, and in longer ones names too."""
-    plain = F.regexp_replace(c, r"\b[0-9a-f]{8}\b|\d[\d.,]*%?", "*")
-    named = F.regexp_replace(plain, r"(?<![\p{L}])\p{Lu}[\p{L}'’-]*(?:[ &]+\p{Lu}[\p{L}'’-]*)*", "*")
+    plain = F.regexp_replace(c, r"\d[\d.,]*%?|[0-9a-f]{8}", "*")
+    named = F.regexp_replace(plain, r"\p{Lu}[\p{L}'’-]*(?:[ &]+\p{Lu}[\p{L}'’-]*)*", "*")
     return F.when(F.length(c) <= SHORT, plain).otherwise(named)
 
 
@@ -133,46 +146,57 @@ class Tree:
         return best
 
 
+def segments(text: Column) -> Column:
+    """The lines and sentences of a text."""
+    for mark in LINE_MARKS:
+        text = F.replace(text, F.lit(mark), F.lit(mark + "\n"))
+    return F.split(text, CUT)
+
+
 def mine(masks: DataFrame) -> DataFrame:
     """``mask_id, template, class`` of distinct masks (``mask_id, mask, example, n``).
 
-    Masks of a leaf are taken from the most frequent down. A template has the class of most of its masks' rows.
+    A task gets many leaves, each whole. Masks of a leaf are taken from the most frequent down. A template has the
+    class of most of its masks' rows.
     """
     tokens = F.split(F.trim("mask"), r"\s+")
     leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
+    spread = max(masks.sparkSession.sparkContext.defaultParallelism, -(-masks.count() // LEAF_MASKS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, votes, where, verdicts = Tree(), {}, [], []
-        for m, example, n in zip(pdf["mask"], pdf["example"], pdf["n"]):
-            i = tree.add(m.split())
+        trees: dict[int, Tree] = {}
+        votes: dict[tuple[int, int], Counter] = {}
+        rows = []
+        pdf = pdf.sort_values(["n", "mask"], ascending=[False, True], ignore_index=True)
+        for key, mask_id, m, example, n in zip(pdf["leaf"].tolist(), pdf["mask_id"].tolist(), pdf["mask"].tolist(), pdf["example"].tolist(), pdf["n"].tolist()):
+            tree = trees.get(key)
+            if tree is None:
+                tree = trees[key] = Tree()
+            words = m.split()
+            i = tree.add(words)
             verdict = classify(example)
-            votes.setdefault(i, Counter())[verdict] += int(n)
-            where.append(i)
-            verdicts.append(verdict)
-        top = {i: v.most_common(1)[0][0] for i, v in votes.items()}
-        # one mask may differ from its template where the wildcard took the telling word
-        kinds = [v if v == "message" or top[i] == "message" and len(tree.templates[i]) < 4 else top[i] for i, v in zip(where, verdicts)]
-        ids = pdf["leaf"].to_numpy() ^ pd.Series(where, dtype="int64").to_numpy()
-        return pd.DataFrame({"mask_id": pdf["mask_id"].to_numpy(), "template": ids, "class": kinds})
-
-    def sorted_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf.sort_values(["n", "mask"], ascending=[False, True], ignore_index=True))
+            votes.setdefault((key, i), Counter())[verdict] += n
+            rows.append((mask_id, key, i, verdict, len(words)))
+        top = {k: v.most_common(1)[0][0] for k, v in votes.items()}
+        # one mask may differ from its template where a wildcard took the telling word
+        kinds = [v if v == "message" or top[key, i] == "message" and size > 3 else top[key, i] for _, key, i, v, size in rows]
+        return pd.DataFrame({"mask_id": [r[0] for r in rows], "template": [r[1] ^ r[2] for r in rows], "class": kinds})
 
-    return masks.withColumn("leaf", leaf).groupBy("leaf").applyInPandas(sorted_run, "mask_id long, template long, class string")
+    return masks.withColumn("leaf", leaf).withColumn("part", F.pmod("leaf", F.lit(spread)).cast("int")).groupBy("part").applyInPandas(run, "mask_id long, template long, class string")
 
 
 def unresolved(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Ids of the documents with an unresolved slot outside code and outside sentences about such syntax."""
     bare = F.regexp_replace(F.col(text_col), CODE, " code ")
-    hinted = docs.where(F.col(text_col).rlike(SLOT_HINT)).select(id_col, F.explode(F.split(bare, CUT)).alias("s"))
+    hinted = docs.where(F.col(text_col).rlike(SLOT_HINT)).select(id_col, F.explode(segments(bare)).alias("s"))
     return hinted.where(F.col("s").rlike(SLOT_HINT)).where(F.col("s").rlike(SLOT) & ~F.col("s").rlike(ABOUT_SYNTAX)).select(id_col).distinct()
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of the documents that are residue, once each. Other columns are ignored; null ids are left out."""
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    segment = F.explode(F.split("t", CUT)).alias("s")
-    rows = docs.select("d", segment).where(F.col("s").rlike(r"[^\s  -‏ ⁠　﻿]"))
+    segment = F.explode(segments(F.col("t"))).alias("s")
+    rows = docs.select("d", segment).where(F.col("s").rlike(VISIBLE))
     rows = rows.select("d", "s", mask(F.col("s")).alias("mask"))
     rows = durable(rows.select("d", F.xxhash64("mask").alias("mask_id"), "mask", "s"))
     masks = rows.groupBy("mask_id").agg(F.min("mask").alias("mask"), F.min("s").alias("example"), F.count("*").alias("n"))

@@ -319,12 +319,17 @@ def profile_links(profiles: DataFrame) -> DataFrame:
     person = F.col("label") == "Founder"
     own = profiles.select("id", "label", "core", "beside", "first", "middle", "words", "n")
 
-    # persons of one surname and initial
+    # persons of one surname and initial; a task gets many such groups, each whole
     def same(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_same_person(list(zip(pdf["id"].tolist(), pdf["first"].tolist(), pdf["middle"].tolist()))), columns=["u", "v"])
+        groups: dict[tuple, list] = {}
+        for row in zip(pdf["core"].tolist(), pdf["beside"].tolist(), pdf["id"].tolist(), pdf["first"].tolist(), pdf["middle"].tolist()):
+            groups.setdefault(row[:2], []).append(row[2:])
+        return pd.DataFrame([link for g in groups.values() for link in _same_person(g)], columns=["u", "v"])
 
+    spread = max(profiles.sparkSession.sparkContext.defaultParallelism, int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shared = own.where(person).groupBy("core", "beside").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    persons = own.where(person).join(shared, ["core", "beside"], "left_semi").groupBy("core", "beside").applyInPandas(same, "u long, v long")
+    part = F.pmod(F.xxhash64("core", "beside"), F.lit(spread)).cast("int")
+    persons = own.where(person).join(shared, ["core", "beside"], "left_semi").groupBy(part.alias("part")).applyInPandas(same, "u long, v long")
 
     # a firm without a descriptor is the only one of its core
     firms = own.where(~person & (F.col("first") == ""))

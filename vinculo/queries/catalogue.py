@@ -1,6 +1,6 @@
 """All queries of the core and the SQL that says the same."""
 
-from . import training
+from . import graph, training
 
-QUERIES: dict = {**training.QUERIES}
-SQL: dict = {}
+QUERIES: dict = {**graph.QUERIES, **training.QUERIES}
+SQL: dict = {**graph.SQL}

@@ -46,11 +46,12 @@ SLOTS = [
 ]
 SLOT = "|".join(SLOTS)
 #: Marks one of which every slot has, quick to look for.
-SLOT_HINT = r"[{<\[«]|@@|##|__|\*\||XXX |&lt;|YOUR_|%[\p{Lu}(]|\$\p{Lu}|\((?:insert|add|enter|put) "
+SLOT_HINT = r"(?=[{<\[«@#_*X&Y%$(])(?:[{<«]|\[(?!\d{1,4}\])|@@|##|__|\*\||XXX |&lt;|YOUR_|%[\p{Lu}(]|\$\p{Lu}|\((?:insert|add|enter|put) )"
 ABOUT_SYNTAX = r"(?i)`|\b(?:write|type|syntax|brackets?|braces|placeholders?|templates?|variables?|markup|quoted as|notation|tags?|macros?|escap(?:e|ed|ing)|schreib\w*|escrib\w*|écri\w*|escrev\w*)\b"
 CODE = r"(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)|`[^`\n]*`"
 LINE_MARKS = "。！？"
-CUT = "[\r\n\x0b\x0c\u0085\u2028\u2029]+|[ \t\u00a0](?<=[.!?…][ \t\u00a0])[ \t\u00a0]*"
+# both begin with a look at one class of characters, which fails fast almost everywhere
+CUT = "(?=[ \t\r\n\x0b\x0c\u0085\u00a0\u2028\u2029])(?:[\r\n\x0b\x0c\u0085\u2028\u2029]+|[ \t\u00a0](?<=[.!?…][ \t\u00a0])[ \t\u00a0]*)"
 VISIBLE = "[^\\s\u00a0\u00ad\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 
 # What messages and filler say, in the languages of the corpus.

@@ -1,8 +1,8 @@
 """The best representative of each duplicate group (problem 4): a skyline of the records, resolved field by field.
 
 Records of a group are compared on completeness (which fields they state), trust of their source and recency. One
-record dominates another if it states every field the other states, has at least its trust and is at least as recent,
-and is better in one of these (or equal in all with a smaller id). Layer 1 are the undominated records, layer n those
+record dominates another if it states every field the other states, has at least its trust and is at least as recent
+(of equally old records the smaller id counts as the more recent). Layer 1 are the undominated records, layer n those
 whose longest chain of dominating records has n - 1 members. The survivor starts from the best record of layer 1 by
 the lexicographic policy (trust, then recency, then smallest id); a field it leaves empty comes from the best record
 that states it in the lowest layer that has one. A record that is best for a field by the policy can only be
@@ -72,14 +72,15 @@ def candidates(records: DataFrame, trust: DataFrame, fields=FIELDS) -> DataFrame
     cells = rows.groupBy("company_id", "mask", "trust").agg(
         F.max_by(F.struct("record_id", "recent", *fields), rank).alias("r"), F.min("record_id").alias("lo"), F.max("record_id").alias("hi")
     )
-    item = F.struct((-F.col("trust")).alias("a"), (-F.col("r.recent")).alias("b"), (-F.bit_count("mask")).alias("n"), F.col("r.record_id").alias("record_id"), "trust", F.col("r.recent").alias("recent"), "mask", F.struct(*[F.col(f"r.{f}") for f in fields]).alias("f"))
+    item = F.struct((-F.col("trust")).alias("a"), (-F.col("r.recent")).alias("b"), F.col("r.record_id").alias("record_id"), "trust", F.col("r.recent").alias("recent"), "mask", F.struct(*[F.col(f"r.{f}") for f in fields]).alias("f"))
     return cells.groupBy("company_id").agg((F.min("lo") < F.max("hi")).alias("several"), F.array_sort(F.collect_list(item)).alias("c"))
 
 
 def _dominates(y: Column, x: Column) -> Column:
     covers = y["mask"].bitwiseAND(x["mask"]) == x["mask"]
-    same = (y["mask"] == x["mask"]) & (y["trust"] == x["trust"]) & (y["recent"] == x["recent"])
-    return covers & (y["trust"] >= x["trust"]) & (y["recent"] >= x["recent"]) & (~same | (y["record_id"] < x["record_id"]))
+    recent = (y["recent"] > x["recent"]) | ((y["recent"] == x["recent"]) & (y["record_id"] <= x["record_id"]))
+    same = (y["record_id"] == x["record_id"]) & (y["mask"] == x["mask"]) & (y["trust"] == x["trust"]) & (y["recent"] == x["recent"])
+    return covers & (y["trust"] >= x["trust"]) & recent & ~same
 
 
 def layers(cands: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def strip_fences(text: str) -> str:
 
 
 def strip_fences_column(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"```(?:cypher)?", ""))
+    return F.regexp_replace(F.regexp_replace(c, r"```(?:cypher)?", ""), r"^\s+|\s+$", "")
 
 
 def cap_results(text: str, most: int = MAX_RESULTS) -> str:

@@ -104,7 +104,7 @@ def classify(segment: str) -> str:
     words = WORDS.findall(s.lower())
     if not words or TRAIL.match(s):
         return "neutral" if not re.match(r"(?:error |http )?[45]\d\d\W*$", s, re.I) else "message"
-    if len(words) >= 6 and len(set(words)) <= max(2, len(words) // 12):
+    if len(words) >= 6 and len(set(words)) <= min(4, max(2, len(words) // 12)):
         return "message"
     low = s.lower()
     if FIELD.match(s) or len(words) <= 45 and any(h in low for h in HINTS) and MESSAGES.search(s):

@@ -133,7 +133,7 @@ def connected(pairs: DataFrame) -> DataFrame:
     Each round every root takes the smallest root beside its tree and paths are halved; rounds grow with the logarithm
     of the longest chain.
     """
-    edges = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null").distinct())
+    edges = durable(pairs.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     up = durable(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
         ends = edges.join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")

@@ -161,3 +161,28 @@ def test_enrichment(spark):
 def test_titles(spark):
     got = spark.createDataFrame([("o'neil 3m-foo_bar.txt",), ("élan.x.txt",)], "f string").select(loader.file_title(F.col("f"))).collect()
     assert [r[0] for r in got] == ["O'Neil 3M Foo Bar", "Élan.X"]
+
+
+def test_extractors(spark):
+    texts = spark.createDataFrame([("alpha-co.txt", "About Alpha"), ("b.txt", "boom"), ("c.txt", "nothing"), ("d.txt", "text")], "filename string, content string")
+
+    def extractor(text, title):
+        if text == "boom":
+            raise ValueError
+        return {"company": {"name": title}} if "About" in text else None if text == "nothing" else "not json"
+
+    parsed = loader.parse_documents(loader.extract(texts, extractor))
+    assert {r["filename"]: (r["problem"], r["company"]["name"]) for r in parsed.collect()}["alpha-co.txt"] == (None, "Alpha Co")
+    assert {r["problem"] for r in parsed.where("filename <> 'alpha-co.txt'").collect()} == {"bad json"}
+    made = propgraph.extract(texts.limit(1), lambda text, title: {"nodes": [{"id": "whatever", "label": "Startup"}, {"id": "y", "label": "Person"}], "edges": [{"source": "y", "target": "whatever", "relationship": "FOUNDED"}]})
+    nodes, edges = propgraph.upsert(*propgraph.read_graphs(made))
+    assert {r["id"] for r in nodes.collect()} == {"alpha_co", "y"} and edges.collect()[0]["dst"] == "alpha_co"
+
+
+def test_enrichment_resumes(spark, tmp_path):
+    profiles = spark.createDataFrame([("alpha.txt", "text"), ("beta.txt", "text")], "filename string, text string")
+    pages = spark.createDataFrame([("Alpha", "Alpha is a firm. " * 30)], "title string, extract string")
+    first = enrichment.resume(profiles.where("filename = 'alpha.txt'"), pages, profiles.limit(0))
+    enrichment.write_enriched(first, str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["filename"]: r["status"] for r in enrichment.resume(profiles, pages, out).collect()} == {"alpha.txt": "already_done", "beta.txt": "not_found"}

@@ -40,3 +40,18 @@ def enrich(profiles: DataFrame, pages: DataFrame, search: DataFrame | None = Non
     seen = hits.select("filename").distinct().withColumn("seen", F.lit(True))
     status = F.when(page.isNotNull(), "enriched").when(F.col("seen"), "irrelevant").otherwise("not_found")
     return joined.join(seen, "filename", "left").select("filename", F.when(page.isNotNull(), added).otherwise(F.col("text")).alias("text"), status.alias("status"))
+
+
+def resume(profiles: DataFrame, pages: DataFrame, done: DataFrame, search: DataFrame | None = None) -> DataFrame:
+    """``enrich`` for the profiles that an earlier output (``filename``) lacks; the others are ``already_done``, untouched.
+
+    An output table is written whole or not at all, so what is there is finished.
+    """
+    there = done.select("filename").distinct()
+    fresh = enrich(profiles.join(there, "filename", "left_anti"), pages, search)
+    return fresh.unionByName(profiles.join(there, "filename", "left_semi").select("filename", "text", F.lit("already_done").alias("status")))
+
+
+def write_enriched(enriched: DataFrame, path: str) -> None:
+    """The enriched texts as a table of ``filename, text`` by status; profiles that were done before aren't written again."""
+    enriched.where("status <> 'already_done'").write.mode("append").partitionBy("status").parquet(path)

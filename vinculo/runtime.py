@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +22,21 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = f"file://{tempfile.gettempdir()}/vinculo-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", root) if _settable(spark) else None
     return root.rstrip("/")
 
 
-def _settable(spark: SparkSession) -> bool:
-    return spark.conf.isModifiable("spark.checkpoint.dir")
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors of a cluster, once for each application; locally they find it themselves."""
+    app = spark.sparkContext.applicationId
+    if spark.sparkContext.master.startswith("local") or app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='vinculo-')}/vinculo", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def durable(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:

@@ -10,6 +10,10 @@ funding event. Ids are hashes of the keys, so a reload gives the same ids.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,28 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return named.where(F.trim("content") != "")
 
 
+def extract(texts: DataFrame, extractor: Callable[[str, str], dict | str | None]) -> DataFrame:
+    """``filename, content``: what an extractor of (text, file title) makes of each whole text, as JSON.
+
+    The extractor runs in Python workers, a batch at a time. Null, an exception and what isn't JSON make the document
+    a bad one, whose file is reported as failed.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for title, text in zip(pdf["title"], pdf["content"]):
+                try:
+                    got = extractor(text, title)
+                    out.append(got if got is None or isinstance(got, str) else json.dumps(got))
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pdf[["filename"]].assign(content=pd.Series(out, dtype=object, index=pdf.index))
+
+    titled = texts.select("filename", "content", file_title(F.col("filename")).alias("title"))
+    return titled.mapInPandas(run, "filename string, content string").select("filename", F.coalesce("content", F.lit("")).alias("content"))
+
+
 def parse_documents(raw: DataFrame) -> DataFrame:
     """``filename``, the fields of the document, and ``problem``: null, ``bad json`` or ``no company name``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import loader
+
 DOCUMENT = (
     "nodes array<struct<id:string,label:string,year_founded:string,domain_of_work:string,description:string,team_size:string,status_or_stage:string,extra_attributes:array<struct<key:string,value:string>>>>, "
     "edges array<struct<source:string,target:string,relationship:string,investment_amount:string,share_price:string,valuation:string,date_occurred:string>>"
@@ -18,6 +20,25 @@ def entity_id(filename: Column) -> Column:
     return F.lower(F.replace(F.regexp_replace(filename, r"\.[^.]*$", ""), F.lit(" "), F.lit("_")))
 
 
+def extract(texts: DataFrame, extractor) -> DataFrame:
+    """Documents of an extractor of (text, id of the entity the file is about), as in ``loader.extract``.
+
+    Whatever id the extractor gives its first node, the file's entity id takes its place, at the ends of edges too.
+    """
+
+    def with_id(text: str, title: str):
+        got = extractor(text, title)
+        if isinstance(got, dict) and got.get("nodes"):
+            old, new = got["nodes"][0].get("id"), title.lower().replace(" ", "_")
+            for n in got["nodes"]:
+                n["id"] = new if n.get("id") == old else n.get("id")
+            for e in got.get("edges") or []:
+                e.update({k: new for k in ("source", "target") if e.get(k) == old})
+        return got
+
+    return loader.extract(texts, with_id)
+
+
 def read_graphs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``id, label, props, filename, pos``, ``src, dst, type, props, filename, pos``) of documents ``filename, content``.
 

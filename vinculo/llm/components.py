@@ -122,5 +122,5 @@ def name_groups(pairs: DataFrame, space: str = "label", left: str = "name1", rig
 
 def fuzzy_groups(candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Groups of the names of fuzzy candidates: a row is a link if both names are filled and it scores above the threshold."""
-    filled = lambda c: F.col(c).isNotNull() & (F.length(F.trim(F.col(c))) > 0)
+    filled = lambda c: F.coalesce(F.col(c).rlike(r"\S"), F.lit(False))
     return name_groups(candidates.where(filled("name1") & filled("name2") & (F.col("similarity") > threshold)))

@@ -287,31 +287,68 @@ def segment_pairs(cores: DataFrame, block: str, text: str) -> DataFrame:
     return hits.select("block", F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), "d").distinct()
 
 
-def _same_person(variants: list[tuple[int, str, str]]) -> list[tuple[int, int]]:
-    """Links between the (id, first, middle) variants of one surname and initial.
+class _Sets:
+    """Disjoint sets."""
 
-    Written-out first names a typo apart are one; an initial or a beginning joins the only person it fits.
-    """
-    full = sorted((v for v in variants if len(v[1]) > 3), key=lambda v: v[1:])
-    part = [v for v in variants if len(v[1]) <= 3]
-    top = {v[0]: v[0] for v in variants}
+    def __init__(self, items):
+        self.top = {x: x for x in items}
 
-    def find(x: int) -> int:
-        while top[x] != x:
-            x = top[x]
+    def find(self, x):
+        while self.top[x] != x:
+            self.top[x] = x = self.top[self.top[x]]
         return x
 
-    for i, a in enumerate(full):
-        for b in full[:i]:
-            if compatible(a[1], b[1]) and compatible(a[2], b[2]):
-                top[find(a[0])] = find(b[0])
-    groups = list(full)
-    for a in sorted(part, key=lambda v: -len(v[1])):
-        fits = {find(b[0]) for b in groups if compatible(a[1], b[1]) and compatible(a[2], b[2])}
+    def join(self, a, b) -> None:
+        self.top[self.find(a)] = self.find(b)
+
+
+def _near(words) -> _Sets:
+    """Words a typo apart, in sets; looked up in an index, as there may be many."""
+    sets = _Sets(words)
+    index = SegmentIndex(sets.top, lambda n: 0 if n < 3 else 1 if n < 6 else 2)
+    for w in sets.top:
+        for other in index.search(w):
+            sets.join(w, other)
+    return sets
+
+
+def _same_person(variants: list[tuple[int, str, str]]) -> list[tuple[int, int]]:
+    """Links between the (id, first, middle) variants of one surname and initial.
+
+    Written-out first names a typo apart are one person unless all have middle names and these don't fit. An initial
+    or a beginning joins the only person it fits. Nothing here compares all pairs of a surname that many people have.
+    """
+    begun = {v[1][:n] for v in variants for n in (1, 2, 3) if len(v[1]) > n}
+    full = [v for v in variants if len(v[1]) > 3 or len(v[1]) == 3 and v[1] not in begun]
+    part = sorted((v for v in variants if len(v[1]) < 3 or len(v[1]) == 3 and v[1] in begun), key=lambda v: (-len(v[1]), v))
+    people = _Sets(v[0] for v in variants)
+    firsts = _near({v[1] for v in full})
+    by_first: dict[str, list] = {}
+    for v in full:
+        by_first.setdefault(firsts.find(v[1]), []).append(v)
+    for group in by_first.values():
+        middles = _near({m for _, _, m in group if len(m) > 1})
+        head: dict[str, int] = {}
+        open_middle = any(not m for _, _, m in group)
+        for i, _, m in sorted(group, key=lambda v: (-len(v[2]), v)):
+            key = "" if open_middle else middles.find(m) if len(m) > 1 else next((k for k in head if k[:1] == m), m)
+            people.join(i, head.setdefault(key, i))
+    starts: dict[str, list] = {}
+    for v in full:
+        for n in (1, 2, 3):
+            starts.setdefault(v[1][:n], []).append(v)
+    for a in part:
+        fits: set[int] = set()
+        for b in starts.get(a[1], ()):
+            if compatible(a[2], b[2]):
+                fits.add(people.find(b[0]))
+                if len(fits) > 1:
+                    break
         if len(fits) == 1:
-            top[find(a[0])] = fits.pop()
-        groups.append(a)
-    return [(x, find(x)) for x in top if find(x) != x]
+            people.join(a[0], fits.pop())
+        for n in range(1, len(a[1]) + 1):
+            starts.setdefault(a[1][:n], []).append(a)
+    return [(x, people.find(x)) for x in people.top if people.find(x) != x]
 
 
 def profile_links(profiles: DataFrame) -> DataFrame:

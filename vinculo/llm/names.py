@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import durable
+from ..runtime import durable, lookup
 from .components import components
 from .strings import INVISIBLE, SegmentIndex, banded_distance, fold
 
@@ -399,13 +399,15 @@ def profile_links(profiles: DataFrame) -> DataFrame:
 def variants(nodes: DataFrame) -> DataFrame:
     """``node_id1, node_id2`` of all nodes that mean the same entity of one label, each pair once, smaller id first."""
     nodes = durable(nodes.where("node_id is not null and label is not null and name is not null").select("node_id", "label", "name").distinct())
-    read = durable(read_names(nodes))
+    read = durable(read_names(nodes).withColumn("key", F.concat_ws("\n", "label", "name")))
+    keyed = durable(nodes.select("node_id", F.concat_ws("\n", "label", "name").alias("key")))
     cols = ["label", "core", "beside", "first", "middle"]
-    counts = nodes.join(read, ["label", "name"]).groupBy(*cols).agg(F.count_distinct("node_id").alias("n"), F.min_by("words", F.array(F.format_string("%09d", -F.size("words") + 999), F.concat_ws(" ", "words"))).alias("words"))
+    longest = F.array(F.format_string("%09d", 999 - F.size("words")), F.concat_ws(" ", "words"))
+    # one name may be a third of all nodes
+    counts = lookup(keyed, read, "key", "inner").groupBy(*cols).agg(F.count_distinct("node_id").alias("n"), F.min_by("words", longest).alias("words"))
     profiles = durable(counts.withColumn("id", F.monotonically_increasing_id()))
-    links = profile_links(profiles)
-    roots = components(links)
-    member = nodes.join(read, ["label", "name"]).join(profiles.select(*cols, "id"), cols).join(roots.withColumnRenamed("v", "id"), "id", "left")
-    member = durable(member.select("node_id", F.coalesce("root", "id").alias("group")).distinct())
+    roots = components(profile_links(profiles))
+    named = read.join(profiles.select(*cols, "id"), cols).join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("group")).distinct()
+    member = durable(lookup(keyed, durable(named), "key", "inner").select("node_id", "group").distinct())
     a, b = member.select("group", F.col("node_id").alias("node_id1")), member.select("group", F.col("node_id").alias("node_id2"))
     return a.join(b, "group").where("node_id1 < node_id2").select("node_id1", "node_id2").distinct()

@@ -26,7 +26,7 @@ def test_jaro_winkler_matches_another_implementation():
     assert fn.jaro_winkler("", "") == 1 and fn.jaro_winkler("a", "") == 0
 
 
-@pytest.mark.parametrize("above", [0.85, 0.92, 0.5])
+@pytest.mark.parametrize("above", [0.85, 0.92, 0.65])
 def test_candidates_lose_no_pair(spark, above):
     rng = random.Random(5)
     names = list({"".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 10))) for _ in range(120)}) + ["Anna", "anna", None]
@@ -36,6 +36,11 @@ def test_candidates_lose_no_pair(spark, above):
     assert got == {(a, b) for a, b in itertools.combinations(real, 2) if fn.jaro_winkler(a.lower(), b.lower()) > above}
 
 
+def test_bounds_that_spare_no_pair_are_refused(spark):
+    with pytest.raises(ValueError):
+        resolution.fuzzy_duplicates(spark.createDataFrame([("a",)], "name string"), 0.5)
+
+
 def test_report_is_ordered_and_limited(spark):
     df = spark.createDataFrame([(f"Fund {i:03d}",) for i in range(30)], "name string")
     rows = resolution.fuzzy_duplicates(df).collect()

@@ -13,6 +13,7 @@ from .plans import syntax as S
 from .plans.lowering import MAX_RESULTS
 from .plans.tokens import QueryError
 
+# Fixed value: the answer to an empty result.
 NO_RESULTS = "No results found for this query. The data may not contain enough information to answer this question."
 # How a text says that there are no data.
 NO_DATA = [

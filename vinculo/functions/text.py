@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 AI_ALIASES = ("ai", "artificial intelligence")
 AI_LABEL = "Artificial Intelligence"
 CATEGORY_FIELDS = frozenset({"category", "categories", "industry", "industries", "technology", "technologies"})
+# The usual parameters of the similarity.
 BOOST_FROM, PREFIX_WEIGHT, PREFIX_LENGTH = 0.7, 0.1, 4
 
 

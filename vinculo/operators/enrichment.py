@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alternate_names, company_name, page_url
 
+# The least length of a relevant page and what stands between a profile and its page.
 MIN_LENGTH = 300
 MARKER = "\n\n--- WIKIPEDIA ENRICHMENT ---\nSource: "
 

@@ -84,14 +84,13 @@ def candidate_pairs(names: DataFrame, above: float) -> DataFrame:
 
     From the boost of at most 0.4 a bound on Jaro follows, from that one on the common letters m of two names of
     lengths a and b: m/a + m/b >= 3 j - 1. Letters are numbered when repeated and ordered by rarity; two names that
-    share m of them share one among the first a - m + 1 and b - m + 1.
+    share m of them share one among the first a - m + 1 and b - m + 1. A bound up to 0.6 asks for no common letter and
+    would make every pair a candidate; it is refused.
     """
     least = (above - 0.4) / 0.6
-    distinct = names.where("name is not null").select("name").distinct().select("name", F.lower("name").alias("low"), F.length("name").alias("n")).where("n > 0")
     if least <= 1 / 3:
-        # such a bound asks for no common letter, so every pair is one
-        other = distinct.select(F.col("name").alias("name2"))
-        return distinct.select(F.col("name").alias("name1")).join(other, F.col("name1") < F.col("name2"))
+        raise ValueError("names can only be compared above a similarity of 0.6")
+    distinct = names.where("name is not null").select("name").distinct().select("name", F.lower("name").alias("low"), F.length("name").alias("n")).where("n > 0")
     letters = F.split("low", "")
     numbered = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
     spelled = distinct.select("name", "n", F.explode(numbered).alias("t"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .lowering import MAX_RESULTS
 from .tokens import tokenize
 
+# The seasons of batches by their letters.
 SEASONS = {"w": "Winter", "s": "Summer"}
 
 

@@ -19,6 +19,16 @@ from .tokens import QueryError, masked
 # The fields that are compared without regard to case, and the categories that count as fintech.
 FOLDED = {"Company": ("name",), "Founder": ("name",), "Investor": ("name",), "Industry": ("name",), "Technology": ("name",), "Location": ("city", "country")}
 FINTECH = ("fintech", "finance", "payments")
+# How a question shows what it asks for.
+COUNTS_COMPANIES = r"\b(?:how many|number of|count|most|compare)\b.{0,80}\b(?:companies|startups)\b|\b(?:company|startup)\s+count\b"
+COUNT_ALIAS = r"(?:company|startup)_count"
+SHORT_BATCH = r"\b[WS]\d{2}\b"
+ABOUT_AI = r"\bAI\b|\bArtificial\s+Intelligence\b"
+NAMED_AI = r"\b(?:compan(?:y|ies)|startups?)\s+(?:(?:is|are)\s+)?(?:named|called)\s+['\"]?(?:AI|Artificial\s+Intelligence)\b"
+B2B_SAAS = r"\bB2B\s+SaaS\b"
+UPPER_SIZE = r"(?:fewer|less)\s+than\s+\d+\s+employees"
+COMPANIES = r"\b(?:companies|startups)\b"
+AGGREGATE = r"\b(?:how many|count|breakdown|average|avg|median|sum|total|percentage|percent|ratio)\b|\bnumber of(?:\s+\w+){0,3}\s+(?:companies|startups)\b"
 TEXT_TESTS = ("=", "<>", "IN", "CONTAINS", "STARTS", "ENDS")
 CATEGORIES = {"Industry": "OPERATES_IN", "Technology": "USES"}
 
@@ -173,8 +183,8 @@ def distinct_company_counts(a: Analysis) -> Iterator[str]:
                 if not c.distinct:
                     yield "Count conditional companies with count(DISTINCT CASE ... THEN company END)."
                 good = True
-    intent = a.asks(r"\b(?:how many|number of|count|most|compare)\b.{0,80}\b(?:companies|startups)\b|\b(?:company|startup)\s+count\b")
-    intent = intent or any(re.fullmatch(r"(?:company|startup)_count", i.alias, re.I) for i in a.query.result.items)
+    intent = a.asks(COUNTS_COMPANIES)
+    intent = intent or any(re.fullmatch(COUNT_ALIAS, i.alias, re.I) for i in a.query.result.items)
     if intent and counts and (not good or any(c.star for c in counts)):
         yield complaint.format(min(companies))
 
@@ -191,7 +201,7 @@ def status_evidence(a: Analysis) -> Iterator[str]:
 
 def full_batch_names(a: Analysis) -> Iterator[str]:
     """Batches are filtered by their full names."""
-    for m in re.finditer(r"\b[WS]\d{2}\b", a.question, re.I):
+    for m in re.finditer(SHORT_BATCH, a.question, re.I):
         short, full = m[0], expand_batches(m[0])
         complaint = f'Use the stored batch name "{full}" instead of "{short}".'
         texts = _texts(a.query)
@@ -203,10 +213,9 @@ def full_batch_names(a: Analysis) -> Iterator[str]:
 
 def both_ai_names(a: Analysis) -> Iterator[str]:
     """The two names of artificial intelligence are one category, unless they are part of a company's name."""
-    pattern = r"\bAI\b|\bArtificial\s+Intelligence\b"
-    if not a.asks(pattern):
+    if not a.asks(ABOUT_AI):
         return
-    if a.asks(r"\b(?:compan(?:y|ies)|startups?)\s+(?:(?:is|are)\s+)?(?:named|called)\s+['\"]?(?:AI|Artificial\s+Intelligence)\b") and len(re.findall(pattern, a.question, re.I)) == 1:
+    if a.asks(NAMED_AI) and len(re.findall(ABOUT_AI, a.question, re.I)) == 1:
         return
     names = [v for n, key, value in a.maps() if key == "name" and a.labels.get(n.variable or "") == "Company" for v in _texts(value)]
     for t in a.tests():
@@ -214,9 +223,9 @@ def both_ai_names(a: Analysis) -> Iterator[str]:
             names += _texts(t)
     rest = a.question
     for n in names:
-        if n.casefold() not in AI_ALIASES and re.search(pattern, n, re.I):
+        if n.casefold() not in AI_ALIASES and re.search(ABOUT_AI, n, re.I):
             rest = re.sub(re.escape(n), "", rest, flags=re.I)
-    if rest != a.question and not re.search(pattern, rest, re.I):
+    if rest != a.question and not re.search(ABOUT_AI, rest, re.I):
         return
     for t in a.tests():
         low = _folded(t.left)
@@ -246,7 +255,7 @@ def canonical_categories(a: Analysis) -> Iterator[str]:
 
 def both_of_b2b_saas(a: Analysis) -> Iterator[str]:
     """Two categories asked for together are both required."""
-    if not a.asks(r"\bB2B\s+SaaS\b"):
+    if not a.asks(B2B_SAAS):
         return
     texts = " ".join(t.casefold() for t in _texts(a.query))
     if "b2b" not in texts or "saas" not in texts:
@@ -266,7 +275,7 @@ def both_of_b2b_saas(a: Analysis) -> Iterator[str]:
 
 def known_team_sizes(a: Analysis) -> Iterator[str]:
     """An upper bound on the team size leaves out unknown sizes, which are 0."""
-    if not a.asks(r"(?:fewer|less)\s+than\s+\d+\s+employees"):
+    if not a.asks(UPPER_SIZE):
         return
     size = lambda x: isinstance(x, S.Property) and x.name == "team_size" or isinstance(x, S.Variable) and x.name == "team_size"
     tests = list(a.tests())
@@ -279,8 +288,8 @@ def known_team_sizes(a: Analysis) -> Iterator[str]:
 
 def fintech_lists(a: Analysis) -> Iterator[str]:
     """A list of fintech companies takes all names of that industry and shows which one matched."""
-    aggregate = a.asks(r"\b(?:how many|count|breakdown|average|avg|median|sum|total|percentage|percent|ratio)\b|\bnumber of(?:\s+\w+){0,3}\s+(?:companies|startups)\b")
-    if not a.asks(r"\b(?:companies|startups)\b") or aggregate or not a.asks(r"\bfintech\b"):
+    aggregate = a.asks(AGGREGATE)
+    if not a.asks(COMPANIES) or aggregate or not a.asks(r"\bfintech\b"):
         return
     filters = {t.casefold() for w in a.filters for t in _texts(w)}
     if not all(any(n in f for f in filters) for n in FINTECH):

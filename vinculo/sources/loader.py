@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..catalog import Graph
 from ..operators.mutation import last_wins
 
+# The structure of an extraction document.
 DOCUMENT = (
     "company struct<name:string,description:string,status:string,stage:string,team_size:int,yc_batch:string>, founders array<string>, investors array<string>, industries array<string>, "
     "locations array<struct<city:string,country:string>>, technologies array<string>, acquisitions array<struct<acquirer:string,year:int,amount:string>>, "

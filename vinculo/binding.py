@@ -13,9 +13,10 @@ from .catalog import Graph
 from .runtime import table
 
 
-def _pairs(df: DataFrame, src: str, dst: str) -> DataFrame:
-    """Distinct edges; the id packs both ends, which are below 2^31."""
-    return df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).distinct().select((F.col("src") * 2**31 + F.col("dst")).alias("edge_id"), "src", "dst")
+def _pairs(df: DataFrame, src: str, dst: str, *, unique: bool = False) -> DataFrame:
+    """Distinct edges; the id packs both ends, which are below 2^31. ``unique`` rows need no shuffle to be so."""
+    ends = df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
+    return (ends if unique else ends.distinct()).select((F.col("src") * 2**31 + F.col("dst")).alias("edge_id"), "src", "dst")
 
 
 def star_graph(spark: SparkSession, d: str) -> Graph:
@@ -48,9 +49,9 @@ def star_graph(spark: SparkSession, d: str) -> Graph:
         "Batch": joined.select(batch_id.alias("node_id"), F.col("yc_batch").alias("name")).distinct(), "FundingEvent": event,
     }
     edges = {
-        "OPERATES_IN": _pairs(customer.select("c_custkey", segment_id.alias("i")), "c_custkey", "i"), "HEADQUARTERED_IN": _pairs(customer, "c_custkey", "c_nationkey"),
-        "PART_OF": _pairs(joined.select("c_custkey", batch_id.alias("b")), "c_custkey", "b"), "INVESTED_IN": _pairs(lines, "l_suppkey", "o_custkey"), "FOUNDED": _pairs(lines.where("l_linenumber = 1"), "l_suppkey", "o_custkey"),
+        "OPERATES_IN": _pairs(customer.select("c_custkey", segment_id.alias("i")), "c_custkey", "i", unique=True), "HEADQUARTERED_IN": _pairs(customer, "c_custkey", "c_nationkey", unique=True),
+        "PART_OF": _pairs(joined.select("c_custkey", batch_id.alias("b")), "c_custkey", "b", unique=True), "INVESTED_IN": _pairs(lines, "l_suppkey", "o_custkey"), "FOUNDED": _pairs(lines.where("l_linenumber = 1"), "l_suppkey", "o_custkey"),
         "USES": _pairs(lines, "o_custkey", "l_partkey"), "CO_FOUNDED_WITH": _pairs(shared.join(other, "l_orderkey").where("l_suppkey < other"), "l_suppkey", "other"),
-        "RAISED": raised, "ACQUIRED_BY": _pairs(bought, "src", "dst"),
+        "RAISED": raised, "ACQUIRED_BY": _pairs(bought, "src", "dst", unique=True),
     }
     return Graph(spark, nodes, edges)

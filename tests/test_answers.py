@@ -66,6 +66,31 @@ def test_questions(graph, i):
     assert rows.count() == n and complaints(question, text) == []
 
 
+FACETS = [
+    ("Which companies are in payments?", None), ("Which payments companies are there?", 2), ("Which active payments companies are headquartered in India?", 1), ("Which AI companies are in San Francisco?", 1), ("Which AI companies compete with Stub?", 0),
+    ("Which companies use AI?", 1), ("Which active San Francisco companies are using AI?", 1), ("Which investors invest in payments companies?", 2), ("Which W15 companies are dead?", 1), ("Compare payments companies from S09 vs W15.", 2),
+    ("Which active AI companies have fewer than 50 employees?", 0), ("Which dead consumer companies came from S20?", 0), ("Which active companies have more than 500 employees?", 1), ("How many payments companies are there in USA?", 1),
+    ("Which companies raised funding but are inactive?", 0), ("Which companies from W15 are public or acquired?", 0), ("Which fintech companies are headquartered in India?", 1), ("Compare payments companies in San Francisco and Bengaluru", 2),
+    ("Which companies make nuclear-powered smartphones?", None), ("Which companies use Kubernetes?", 0), ("Which AI companies are from W21 vs S21?", 0),
+]
+
+
+@pytest.mark.parametrize("i", range(len(FACETS)))
+def test_facets(graph, i):
+    question, n = FACETS[i]
+    if n is None:
+        with pytest.raises(Q.UnknownQuestion):
+            Q.ask(graph, question)
+        return
+    rows, text = Q.ask(graph, question)
+    assert complaints(question, text) == [] and rows.count() == n
+
+
+def test_both_names_give_one_count(graph):
+    a, b = (Q.ask(graph, f"How many companies use {n}?")[0].collect() for n in ("AI", "Artificial Intelligence"))
+    assert a == b and a[0][0] == 1
+
+
 def test_other_questions_fail_loudly(graph):
     with pytest.raises(Q.UnknownQuestion):
         Q.ask(graph, "What is the meaning of life?")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -59,6 +60,24 @@ def serialise(vocabulary: list[bytes]) -> bytes:
     return model.SerializeToString()
 
 
+class _Known(dict):
+    """The ids of pre-tokens as packed 32-bit numbers; what isn't there is encoded and, if short, remembered."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.encode = model.encode
+        self.table = {i: c for i, c in enumerate(byte_alphabet())}
+
+    def __missing__(self, piece: str) -> bytes:
+        # latin-1 maps each byte to the character of the same number, which translate() then maps to the alphabet
+        ids = array("i", self.encode(piece.encode().decode("latin-1").translate(self.table))).tobytes()
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_SIZE:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts by one vocabulary; made once in each Python worker."""
 
@@ -69,26 +88,14 @@ class Encoder:
         self.vocabulary = read_vocabulary(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.vocabulary))
         self.split = regex.compile(PATTERN).findall
-        self.table = {i: c for i, c in enumerate(byte_alphabet())}
-        self.known: dict[str, list[int]] = {}
+        self.ids_of = _Known(self.model).__getitem__
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        # latin-1 maps each byte to the character of the same number, which translate() then maps to the alphabet
-        return self.model.encode([p.encode().decode("latin-1").translate(self.table) for p in pieces], num_threads=1)
+    def pack(self, text: str | None) -> bytes:
+        """The ids of a text as packed 32-bit numbers; none for null and empty texts."""
+        return b"".join(map(self.ids_of, self.split(text))) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        known, pieces = self.known, self.split(text)
-        if len(known) > CACHE_SIZE:
-            known.clear()
-        missing = [p for p in set(pieces) if p not in known]
-        if not missing:
-            return [i for p in pieces for i in known[p]]
-        fresh = dict(zip(missing, self.encode_pieces(missing)))
-        out = [i for p in pieces for i in (known.get(p) or fresh[p])]
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHE_LENGTH)
-        return out
+        return array("i", self.pack(text)).tolist()
 
     def decode(self, ids) -> str:
         return b"".join(self.vocabulary[i] for i in ids).decode("utf-8")
@@ -113,10 +120,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, out
     def run(batches):
         own = encoder(path)
         for batch in batches:
-            lists = [own.encode(t) for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
+            packed = [own.pack(t) for t in batch.column(1).to_pylist()]
+            offsets = np.zeros(len(packed) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
+            flat = np.frombuffer(b"".join(packed), np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, out])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -130,7 +137,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         own = encoder(path)
         for batch in batches:
-            counts = pa.array([len(own.encode(t)) for t in batch.column(1).to_pylist()], pa.int32())
+            counts = pa.array([len(own.pack(t)) // 4 for t in batch.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts], names=[id_col, out])
 
     kind = df.schema[id_col].dataType.simpleString()

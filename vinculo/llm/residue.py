@@ -52,7 +52,6 @@ CODE = r"(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)|`[^`\n]*`"
 LINE_MARKS = "。！？"
 # both begin with a look at one class of characters, which fails fast almost everywhere
 CUT = "(?=[ \t\r\n\x0b\x0c\u0085\u00a0\u2028\u2029])(?:[\r\n\x0b\x0c\u0085\u2028\u2029]+|[ \t\u00a0](?<=[.!?…][ \t\u00a0])[ \t\u00a0]*)"
-VISIBLE = "[^\\s\u00a0\u00ad\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 
 # What messages and filler say, in the languages of the corpus.
 _scripts = r"(?:java ?script|js|(?:client-side )?script(?:s|ing)?(?: execution)?|cookies)"
@@ -117,11 +116,14 @@ def classify(segment: str) -> str:
     return "neutral" if len(words) <= 7 and not ends and len(s) <= 70 and not re.search(r"[ぁ-んァ-ン]", s) else "content"
 
 
+NUMBERS = r"\d[\d.,]*%?|[0-9a-f]{8}"
+NAMES = r"\p{Lu}[\p{L}'’-]*(?:[ &]+\p{Lu}[\p{L}'’-]*)*"
+
+
 def mask(c: Column) -> Column:
     """A segment with numbers and reference codes masked, and in longer ones names too."""
-    plain = F.regexp_replace(c, r"\d[\d.,]*%?|[0-9a-f]{8}", "*")
-    named = F.regexp_replace(plain, r"\p{Lu}[\p{L}'’-]*(?:[ &]+\p{Lu}[\p{L}'’-]*)*", "*")
-    return F.when(F.length(c) <= SHORT, plain).otherwise(named)
+    plain = F.regexp_replace(c, NUMBERS, "*")
+    return F.when(F.length(c) <= SHORT, plain).otherwise(F.regexp_replace(c, f"{NUMBERS}|{NAMES}", "*"))
 
 
 class Tree:
@@ -197,7 +199,8 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The ids of the documents that are residue, once each. Other columns are ignored; null ids are left out."""
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     segment = F.explode(segments(F.col("t"))).alias("s")
-    rows = docs.select("d", segment).where(F.col("s").rlike(VISIBLE))
+    # what is left of invisible characters has no word and so is neutral
+    rows = docs.select("d", segment).where(F.trim("s") != "")
     rows = rows.select("d", "s", mask(F.col("s")).alias("mask"))
     rows = durable(rows.select("d", F.xxhash64("mask").alias("mask_id"), "mask", "s"))
     masks = rows.groupBy("mask_id").agg(F.min("mask").alias("mask"), F.min("s").alias("example"), F.count("*").alias("n"))

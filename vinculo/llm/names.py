@@ -82,6 +82,7 @@ class Reader:
         else:
             drop = LEGAL | (COMPANY_TAILS if label == "Company" else set())
             self.drop = drop
+            self.numbered = label != "Company"
             self.known = {w for w in common if w.isalpha() and len(w) > 3 and w not in drop and w not in SHORT_WORDS and re.search("[aeiou]", w[1:])} | DESCRIPTORS | (set() if label == "Company" else {"group"})
             self.near = SegmentIndex({w for w in self.known | drop if len(w) > 4}, lambda n: 1 if n < 6 else 2)
             self.memo: dict[str, str | None] = {}
@@ -117,6 +118,12 @@ class Reader:
                 return (ws[0], "", "", "", ws) if ws and len(ws[0]) > 1 else None
             exact = [w in self.given or w in NICKNAMES or len(w) == 1 for w in ws]
             likely = exact if any(exact[:-1]) or (exact[-1] and not exact[0]) else [x or self._given(w) is not None for x, w in zip(exact, ws)]
+            if likely.count(False) > 1:
+                # a first name with a typo: the first word, the last behind a surname, or a long one; not a part of a surname
+                for i, w in enumerate(ws):
+                    placed = i == 0 or i == len(ws) - 1 and not exact[0] or len(w) > 5
+                    if not likely[i] and likely.count(False) > 1 and placed and len(w) > 3 and self._given(w):
+                        likely[i] = True
             if all(likely):
                 likely[-1] = False
             if not any(likely):
@@ -169,7 +176,7 @@ class Reader:
         beside: set[str] = set()
         number = ""
         for i, w in enumerate(ws):
-            if i and ROMAN.match(w) and not number:
+            if i and self.numbered and ROMAN.match(w) and not number:
                 number = w
                 continue
             d = self._descriptor({"grp": "group"}.get(w, w)) if len(ws) > 1 else None
@@ -190,8 +197,8 @@ class Reader:
             beside.discard("group")
         if "seed" in beside:
             beside.discard("fund")
-        initials = [w for w in core if len(w) == 1]
-        wordy = [w for w in core if len(w) > 1]
+        initials = [w for w in core if len(w) == 1] if self.numbered else []
+        wordy = [w for w in core if len(w) > 1 or not self.numbered]
         if not wordy:
             return None
         first = initials[0] if initials and len(wordy) == 1 else ""
@@ -374,10 +381,14 @@ def profile_links(profiles: DataFrame) -> DataFrame:
     dropped = only.where("c = 2 and u is not null and v is not null").select("u", "v")
 
     # a firm with a shortened first word is the only one with that initial
-    halves = firms.where(F.size("words") == 2).select("id", "label", "beside", F.explode(F.array(F.struct(F.get("words", F.lit(0)).alias("cut"), F.get("words", F.lit(1)).alias("core")), F.struct(F.get("words", F.lit(1)).alias("cut"), F.get("words", F.lit(0)).alias("core")))).alias("h"))
-    halves = halves.select(F.col("id").alias("v"), "label", "beside", F.substring("h.cut", 1, 1).alias("first"), F.col("h.core").alias("core"))
+    halves = firms.where(F.size("words") == 2).select("id", "label", "beside", "n", F.explode(F.array(F.struct(F.get("words", F.lit(0)).alias("cut"), F.get("words", F.lit(1)).alias("core")), F.struct(F.get("words", F.lit(1)).alias("cut"), F.get("words", F.lit(0)).alias("core")))).alias("h"))
+    halves = halves.select(F.col("id").alias("v"), "label", "beside", F.substring("h.cut", 1, 1).alias("first"), F.col("h.core").alias("core"), "n", F.concat("h.cut", "h.core").alias("name"))
     short = own.where(~person & (F.col("first") != "")).select(F.col("id").alias("u"), "label", "beside", "first", "core")
-    initials = short.join(halves, ["label", "beside", "first", "core"]).groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v = w").select("u", "v")
+    meant = durable(short.join(halves, ["label", "beside", "first", "core"]).select("u", "v", "n", "name"))
+    # spellings of one name a typo apart are one candidate, the most frequent of them
+    best = meant.groupBy("u").agg(F.max_by(F.struct("v", "name"), F.struct("n", -F.col("v"))).alias("b"))
+    apart = meant.join(best, "u").withColumn("far", F.levenshtein("name", F.col("b.name"), 2) < 0)
+    initials = apart.groupBy("u").agg(F.min("b.v").alias("v"), F.max("far").alias("far")).where("not far").select("u", "v")
 
     # typos: views are the core and, of two words, both orders
     two = F.when(~person & (F.size("words") == 2), F.array(F.concat(F.get("words", F.lit(0)), F.get("words", F.lit(1))), F.concat(F.get("words", F.lit(1)), F.get("words", F.lit(0))))).otherwise(F.array("core"))
@@ -389,7 +400,10 @@ def profile_links(profiles: DataFrame) -> DataFrame:
     near = durable(segment_pairs(durable(cores), "block", "view"))
     left = near.join(views.select("block", F.col("view").alias("a"), F.col("id").alias("u"), F.col("first").alias("f1"), F.col("middle").alias("m1"), F.col("n").alias("n1")), ["block", "a"])
     both = left.join(views.select("block", F.col("view").alias("b"), F.col("id").alias("v"), F.col("first").alias("f2"), F.col("middle").alias("m2"), F.col("n").alias("n2")), ["block", "b"])
-    fits = (F.col("f1") == F.col("f2")) | ((F.col("d") == 1) & (F.length("f1") > 3) & (F.length("f2") > 3) & (F.expr("levenshtein(f1, f2, 1)") >= 0)) | ((F.length("f1") == 1) | (F.length("f2") == 1)) & F.col("block").startswith("Founder") & (F.col("d") <= 1)
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    # two edits that keep all letters are one swap
+    slip = (F.col("d") <= 1) | (letters(F.col("a")) == letters(F.col("b")))
+    fits = (F.col("f1") == F.col("f2")) | ((F.col("d") == 1) & (F.length("f1") > 3) & (F.length("f2") > 3) & (F.expr("levenshtein(f1, f2, 1)") >= 0)) | ((F.length("f1") == 1) | (F.length("f2") == 1)) & F.col("block").startswith("Founder") & slip
     middles = (F.col("m1") == "") | (F.col("m2") == "") | (F.substring("m1", 1, 1) == F.substring("m2", 1, 1))
     # two spellings that are each written on several nodes are two names, not one and its typo
     typos = both.where("u <> v").where(fits & middles).where("n1 < 2 or n2 < 2").select("u", "v")

@@ -46,7 +46,7 @@ def durable(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "snappy")  # written and read once: speed counts more than size
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)

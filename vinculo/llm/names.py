@@ -30,6 +30,8 @@ from .strings import INVISIBLE, SegmentIndex, banded_distance, fold
 #: A word is common to a label if it has so many different neighbours, as a share of the label's distinct names and at
 #: least; so at most twice the words of a name / COMMON_SHARE are, at any size.
 COMMON_SHARE, COMMON_LEAST = 0.002, 5
+#: Readings of names that one task compares; sets only the number of tasks.
+PART_PROFILES = 20_000
 # Forms and titles that identify nobody, usual words of firm names and their short forms, nicknames.
 LEGAL = set("inc incorporated llc llp lp ltd limited gmbh ag kg co corp corporation sa sarl srl spa plc bv nv oy ab as aps pty kk the".split())
 COMPANY_TAILS = set("group technologies technology startup hq company".split())
@@ -370,7 +372,7 @@ def profile_links(profiles: DataFrame) -> DataFrame:
             groups.setdefault(row[:2], []).append(row[2:])
         return pd.DataFrame([link for g in groups.values() for link in _same_person(g)], columns=["u", "v"])
 
-    spread = max(profiles.sparkSession.sparkContext.defaultParallelism, int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = max(profiles.sparkSession.sparkContext.defaultParallelism, -(-profiles.count() // PART_PROFILES))
     shared = own.where(person).groupBy("core", "beside").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     part = F.pmod(F.xxhash64("core", "beside"), F.lit(spread)).cast("int")
     persons = own.where(person).join(shared, ["core", "beside"], "left_semi").groupBy(part.alias("part")).applyInPandas(same, "u long, v long")

@@ -45,6 +45,7 @@ def test_matches_brute_force(spark):
     assert len(got) == len({r[1] for r in rows})
     for c, f, i in brute(rows, trust):
         assert got[c][f"{f}_from"] == i
+    assert {r["status"] for r in got.values()} <= {None, "Active", "Dead"} and {r["stage"] for r in got.values()} <= {None, "Early", "Growth"}
 
 
 def test_layers_follow_dominance(spark):

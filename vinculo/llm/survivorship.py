@@ -109,13 +109,19 @@ def chosen_records(records: DataFrame, trust: DataFrame, fields=FIELDS) -> DataF
     return ranked.select("company_id", F.inline(picks)).where("record_id is not null")
 
 
+def _tidy(field: str, value: Column) -> Column:
+    """Texts without outer blanks; states in one spelling."""
+    return F.initcap(F.trim(value)) if field in ("status", "stage") else F.trim(value) if field == "description" else value
+
+
 def survivors(records: DataFrame, trust: DataFrame, fields=FIELDS) -> DataFrame:
     """One record for each company: ``company_id``, each field's value, and the record it comes from.
 
-    A company with one record survives as it is, its empty and stand-in values as nulls.
+    A company with one record survives as it is, its empty and stand-in values as nulls. Outer blanks go, and status and
+    stage come in one spelling.
     """
     ranked = layers(candidates(records, trust, fields))
     base = F.get(F.filter("c", lambda d: d["layer"] == 1), F.lit(0))["x"]["record_id"].alias("record_id")
     n = F.array_max(F.transform("c", lambda d: d["layer"])).alias("n_layers")
     ranked = ranked.select("company_id", base, n, *[_best(i).alias(f"_{f}") for i, f in enumerate(fields)])
-    return ranked.select("company_id", "record_id", "n_layers", *[F.col(f"_{f}.f.{f}").alias(f) for f in fields], *[F.col(f"_{f}.record_id").alias(f"{f}_from") for f in fields])
+    return ranked.select("company_id", "record_id", "n_layers", *[_tidy(f, F.col(f"_{f}.f.{f}")).alias(f) for f in fields], *[F.col(f"_{f}.record_id").alias(f"{f}_from") for f in fields])

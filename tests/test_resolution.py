@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vinculo.catalog import Graph
 from vinculo.functions import text as fn
 from vinculo.operators import mutation, resolution
+from vinculo.queries import processing
 
 
 def graph_of(spark, names, edges=()):
@@ -67,6 +68,14 @@ def test_similar_names_are_merged_in_chains(spark):
     assert same.node("Investor").count() == 6
 
 
+def test_merge_query_takes_both_labels_at_the_bound_of_the_operator(spark, tmp_path):
+    pairs = [("Investor", "Brolu Ventures", "Brolu Vontures"), ("Founder", "Anna Depoblegu", "Anna Depablego"), ("Company", "Klepo Foods", "Klipo Foods")]
+    assert all(0.92 < fn.jaro_winkler(a.lower(), b.lower()) <= 0.97 for _, a, b in pairs)
+    rows = [(10 * i + k, label, name) for i, (label, *names) in enumerate(pairs) for k, name in enumerate([*names, "Quite Different"])]
+    spark.createDataFrame(rows, "node_id long, label string, name string").write.parquet(f"{tmp_path}/entity_name.parquet")
+    assert {tuple(r) for r in processing.merge_similar_names(spark, str(tmp_path)).collect()} == {("Investor", 2), ("Founder", 2)}
+
+
 def test_connected_chains(spark):
     chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120)] + [("x", "y"), ("z", None)], "a string, b string")
     got = {r["node"]: r["root"] for r in resolution.connected(chain).collect()}

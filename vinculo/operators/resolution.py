@@ -2,7 +2,8 @@
 
 Aliases that point to themselves are dropped and cycles get one fixed canonical name, so nothing is deleted without a
 survivor. Similar names come from a lossless candidate join instead of all pairs: names within a Jaro-Winkler bound
-share a number of letters that depends on their lengths only, so they share one of the rarest letters of each.
+share a number of letters that depends on their lengths and common beginning only, so they share one of the rarest
+letters of each.
 """
 
 from __future__ import annotations
@@ -82,29 +83,35 @@ def apply_aliases(graph: Graph, aliases: dict[str, str] | None = None, labels=AL
 def candidate_pairs(names: DataFrame, above: float) -> DataFrame:
     """``name1, name2`` (name1 < name2) that may be more similar than ``above``; no pair above it is missing.
 
-    From the boost of at most 0.4 a bound on Jaro follows, from that one on the common letters m of two names of
-    lengths a and b: m/a + m/b >= 3 j - 1. Letters are numbered when repeated and ordered by rarity; two names that
-    share m of them share one among the first a - m + 1 and b - m + 1. A bound up to 0.6 asks for no common letter and
-    would make every pair a candidate; it is refused.
+    A common beginning of p letters, 4 at most, boosts Jaro by p / 10 of what lacks to 1; so from p a bound j on Jaro
+    follows, from that one on the common letters m of two names of lengths a and b: m/a + m/b >= 3 j - 1. Letters are
+    numbered when repeated and ordered by rarity; two names that share m of them share one among the first a - m + 1
+    and b - m + 1. For each p names are compared that begin with the same p letters; those whose letters as bits differ
+    in more than a + b - 2 m can't share m. A bound up to 0.6 asks for no common letter and would make every pair a
+    candidate; it is refused.
     """
-    least = (above - 0.4) / 0.6
-    if least <= 1 / 3:
+    asked = [3 * (above - p / 10) / (1 - p / 10) - 1 - 1e-9 for p in range(5)]
+    if (above - 0.4) / 0.6 <= 1 / 3:
         raise ValueError("names can only be compared above a similarity of 0.6")
-    distinct = names.where("name is not null").select("name").distinct().select("name", F.lower("name").alias("low"), F.length("name").alias("n")).where("n > 0")
+    distinct = names.where("name is not null").select("name").distinct().select("name", F.lower("name").alias("low")).withColumn("n", F.length("low")).where("n > 0")
     letters = F.split("low", "")
     numbered = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
-    spelled = distinct.select("name", "n", F.explode(numbered).alias("t"))
+    spelled = distinct.select("name", "low", "n", F.explode(numbered).alias("t"))
     # no more different letters than alphabets have, times how often one repeats
     rarity = spelled.groupBy("t").agg(F.count("*").alias("c"))
-    ordered = spelled.join(rarity, "t").groupBy("name", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("ts"))
+    bits = F.expr("bit_xor(shiftleft(1L, cast(pmod(xxhash64(t), 64) as int)))")
+    ordered = spelled.join(rarity, "t").groupBy("name", "low", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("ts"), bits.alias("bits"))
     lengths = distinct.select(F.col("n").alias("m")).distinct()
-    sizes = distinct.select("n").distinct().join(lengths, F.expr(f"1.0D / greatest(n, m) * least(n, m) + 1 >= {3 * least - 1 - 1e-9}D"))
-    shared = F.ceil((3 * least - 1 - 1e-9) * F.col("n") * F.col("m") / (F.col("n") + F.col("m"))).cast("int")
-    wanted = sizes.withColumn("first", F.col("n") - F.greatest(shared, F.lit(1)) + 1)
-    probes = ordered.join(F.broadcast(wanted), "n").select("name", "n", "m", F.explode(F.slice("ts", 1, F.greatest(F.col("first"), F.lit(0)))).alias("t"))
-    left = probes.select(F.col("name").alias("name1"), F.col("n").alias("n"), F.col("m").alias("m"), "t")
-    right = probes.select(F.col("name").alias("name2"), F.col("m").alias("n"), F.col("n").alias("m"), "t")
-    return left.join(right, ["t", "n", "m"]).where("name1 < name2").select("name1", "name2").distinct()
+    levels = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(ask).alias("ask")) for p, ask in enumerate(asked)])).alias("level")
+    sizes = distinct.select("n").distinct().join(lengths, F.expr(f"1.0D / greatest(n, m) * least(n, m) + 1 >= {asked[4]}D")).select("n", "m", levels).select("n", "m", "level.*")
+    sizes = sizes.where("1.0D / greatest(n, m) * least(n, m) + 1 >= ask")
+    shared = F.greatest(F.ceil(F.col("ask") * F.col("n") * F.col("m") / (F.col("n") + F.col("m"))).cast("int"), F.lit(1))
+    wanted = sizes.select("n", "m", "p", (F.col("n") - shared + 1).alias("first"), (F.col("n") + F.col("m") - 2 * shared).alias("apart"))
+    probes = ordered.join(F.broadcast(wanted), "n").select("name", "bits", "n", "m", "p", "apart", F.expr("substring(low, 1, p)").alias("start"), F.explode(F.slice("ts", 1, F.greatest(F.col("first"), F.lit(0)))).alias("t"))
+    left = probes.select(F.col("name").alias("name1"), F.col("bits").alias("bits1"), "n", "m", "p", "apart", "start", "t")
+    right = probes.select(F.col("name").alias("name2"), F.col("bits").alias("bits2"), F.col("m").alias("n"), F.col("n").alias("m"), "p", "start", "t")
+    hits = left.join(right, ["t", "n", "m", "p", "start"]).where("name1 < name2 and bit_count(bits1 ^ bits2) <= apart")
+    return hits.select("name1", "name2").distinct()
 
 
 def fuzzy_duplicates(nodes: DataFrame, above: float = REPORT_ABOVE, limit: int | None = REPORT_ROWS) -> DataFrame:

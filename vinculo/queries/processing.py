@@ -153,11 +153,10 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_similar_names(spark: SparkSession, d: str) -> DataFrame:
-    """Founders left after similar names are merged."""
-    graph = _named_graph(spark, d)
-    graph.nodes.pop("Company")
-    graph.nodes.pop("Investor")
-    return resolution.merge_similar(graph, labels=("Founder",), above=0.97).node("Founder").agg(F.count("*").alias("n"))
+    """Investors and founders left after similar names are merged, by label."""
+    merged = resolution.merge_similar(_named_graph(spark, d))
+    left = [merged.node(label).agg(F.count("*").alias("n")).select(F.lit(label).alias("label"), "n") for label in resolution.MERGE_LABELS]
+    return left[0].unionByName(left[1])
 
 
 def log_daily(spark: SparkSession, d: str) -> DataFrame:

@@ -76,6 +76,22 @@ def test_merge_query_takes_both_labels_at_the_bound_of_the_operator(spark, tmp_p
     assert {tuple(r) for r in processing.merge_similar_names(spark, str(tmp_path)).collect()} == {("Investor", 2), ("Founder", 2)}
 
 
+def test_report_query_has_all_labels(spark, tmp_path):
+    rows = [(10 * i + k, label, f"{label} {name}") for i, label in enumerate(["Investor", "Founder", "Company"]) for k, name in enumerate(["Depoblegu", "Depablegu"])]
+    spark.createDataFrame(rows, "node_id long, label string, name string").write.parquet(f"{tmp_path}/entity_name.parquet")
+    got = [tuple(r) for r in processing.fuzzy_report(spark, str(tmp_path)).collect()]
+    assert sorted((label, line[7:]) for label, line in got) == [(label, f"{label} Depablegu ↔ {label} Depoblegu") for label in ("Company", "Founder", "Investor")]
+
+
+@pytest.mark.parametrize("limit", [3, 8, 500])
+def test_top_list_is_that_of_all_pairs(spark, limit):
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(4, 9))) for _ in range(40)} | {"abcda", "ABCDA", "aBCDA"})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    want = sorted((-s, a, b) for a, b in itertools.combinations(names, 2) if (s := fn.jaro_winkler(a.lower(), b.lower())) > 0.85)
+    assert [(-r["similarity"], r["name1"], r["name2"]) for r in resolution.fuzzy_duplicates(df, 0.85, limit).collect()] == want[:limit]
+
+
 def test_connected_chains(spark):
     chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120)] + [("x", "y"), ("z", None)], "a string, b string")
     got = {r["node"]: r["root"] for r in resolution.connected(chain).collect()}

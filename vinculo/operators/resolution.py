@@ -41,6 +41,8 @@ KNOWN_ALIASES = {
 ALIAS_LABELS = ("Investor", "Founder", "Company")
 MERGE_LABELS = ("Investor", "Founder")
 REPORT_ABOVE, MERGE_ABOVE, REPORT_ROWS = 0.85, 0.92, 50
+#: Bounds at which a top list is looked for before its own; they set only the work, not the result.
+TOP_BOUNDS = (0.99, 0.95)
 
 
 def alias_table(spark: SparkSession, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -119,8 +121,17 @@ def fuzzy_duplicates(nodes: DataFrame, above: float = REPORT_ABOVE, limit: int |
 
     The limit makes it the report's top list; ``None`` gives all pairs.
     """
-    pairs = candidate_pairs(nodes, above).withColumn("similarity", jaro_winkler_column(F.col("name1"), F.col("name2"))).where(F.col("similarity") > above)
-    return pairs.orderBy(F.desc("similarity"), "name1", "name2").limit(limit) if limit else pairs
+    def all_above(bound: float) -> DataFrame:
+        return candidate_pairs(nodes, bound).withColumn("similarity", jaro_winkler_column(F.col("name1"), F.col("name2"))).where(F.col("similarity") > bound)
+
+    if not limit:
+        return all_above(above)
+    # no pair above a bound is missing, so where the limit is reached above a higher one, that is the top list
+    for bound in [*(b for b in TOP_BOUNDS if b > above), above]:
+        top = durable(all_above(bound).orderBy(F.desc("similarity"), "name1", "name2").limit(limit))
+        if bound == above or top.count() == limit:
+            break
+    return top.orderBy(F.desc("similarity"), "name1", "name2")
 
 
 def duplicate_report(graph: Graph, labels=ALIAS_LABELS) -> DataFrame:

@@ -128,8 +128,8 @@ def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_report(spark: SparkSession, d: str) -> DataFrame:
-    """The top of the report of similar names of nodes."""
-    return resolution.duplicate_report(_named_graph(spark, d), labels=("Investor",))
+    """The top of the report of similar names of nodes, for each label."""
+    return resolution.duplicate_report(_named_graph(spark, d))
 
 
 def _named_graph(spark: SparkSession, d: str) -> Graph:

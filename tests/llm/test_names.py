@@ -38,6 +38,13 @@ def test_groups(spark):
     assert {p for p in got if max(p) < 1000} == want
 
 
+def test_typos_on_several_nodes_are_linked(spark):
+    rows = [(i, "Company", n) for i, n in enumerate(["Drihastenai Security"] * 3 + ["Drihastemai Security"] * 2)]
+    rows += [(10 + i, "Founder", n) for i, n in enumerate(["Abigail Depobleglu"] * 2 + ["Abigail Depoblaglu"] * 2)]
+    got = {tuple(r) for r in N.variants(spark.createDataFrame(rows, "node_id long, label string, name string")).collect()}
+    assert got == set(itertools.combinations(range(5), 2)) | set(itertools.combinations(range(10, 14), 2))
+
+
 def test_segment_join_matches_brute_force(spark):
     rng = random.Random(9)
     texts = list({"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 11))) for _ in range(250)})

@@ -8,7 +8,8 @@ here, so two spellings of one entity have the same core but for typos.
 Cores are then joined within k edits: each core is cut into k + 1 segments held in an inverted index by (block,
 length, segment); each core looks up those substrings of its own, shifted by the places that k edits allow, and the
 hits are verified by a banded edit distance. A block is the label and what must agree beside the core (descriptor and
-number of a firm, initial of a person). Short cores allow fewer edits. The links make groups by the grid components.
+number of a firm, initial of a person). Short cores allow fewer edits, and on how many nodes a spelling stands makes no
+difference. The links make groups by the grid components.
 
 Rows with a null id, label or name, and names without a letter, have no links. Every pair of nodes of a group comes
 out, equal names included.
@@ -395,20 +396,19 @@ def profile_links(profiles: DataFrame) -> DataFrame:
     # typos: views are the core and, of two words, both orders
     two = F.when(~person & (F.size("words") == 2), F.array(F.concat(F.get("words", F.lit(0)), F.get("words", F.lit(1))), F.concat(F.get("words", F.lit(1)), F.get("words", F.lit(0))))).otherwise(F.array("core"))
     block = F.concat_ws("#", "label", "beside", F.when(person, F.lit("")).otherwise(F.col("first")))
-    views = durable(own.select("id", "first", "middle", "n", block.alias("block"), F.explode(F.array_distinct(two)).alias("view")))
+    views = durable(own.select("id", "first", "middle", block.alias("block"), F.explode(F.array_distinct(two)).alias("view")))
     heads = views.where(F.col("first") == "").groupBy("block", "view").agg(F.min("id").alias("v"))
     equal = views.where(F.col("first") == "").join(heads, ["block", "view"]).where("id <> v").select(F.col("id").alias("u"), "v")
-    cores = views.groupBy("block", "view").agg(F.sum("n").alias("n"))
+    cores = views.select("block", "view").distinct()
     near = durable(segment_pairs(durable(cores), "block", "view"))
-    left = near.join(views.select("block", F.col("view").alias("a"), F.col("id").alias("u"), F.col("first").alias("f1"), F.col("middle").alias("m1"), F.col("n").alias("n1")), ["block", "a"])
-    both = left.join(views.select("block", F.col("view").alias("b"), F.col("id").alias("v"), F.col("first").alias("f2"), F.col("middle").alias("m2"), F.col("n").alias("n2")), ["block", "b"])
+    left = near.join(views.select("block", F.col("view").alias("a"), F.col("id").alias("u"), F.col("first").alias("f1"), F.col("middle").alias("m1")), ["block", "a"])
+    both = left.join(views.select("block", F.col("view").alias("b"), F.col("id").alias("v"), F.col("first").alias("f2"), F.col("middle").alias("m2")), ["block", "b"])
     letters = lambda c: F.array_sort(F.split(c, ""))
     # two edits that keep all letters are one swap
     slip = (F.col("d") <= 1) | (letters(F.col("a")) == letters(F.col("b")))
     fits = (F.col("f1") == F.col("f2")) | ((F.col("d") == 1) & (F.length("f1") > 3) & (F.length("f2") > 3) & (F.expr("levenshtein(f1, f2, 1)") >= 0)) | ((F.length("f1") == 1) | (F.length("f2") == 1)) & F.col("block").startswith("Founder") & slip
     middles = (F.col("m1") == "") | (F.col("m2") == "") | (F.substring("m1", 1, 1) == F.substring("m2", 1, 1))
-    # two spellings that are each written on several nodes are two names, not one and its typo
-    typos = both.where("u <> v").where(fits & middles).where("n1 < 2 or n2 < 2").select("u", "v")
+    typos = both.where("u <> v").where(fits & middles).select("u", "v")
     return persons.unionByName(dropped).unionByName(initials).unionByName(equal).unionByName(typos)
 
 

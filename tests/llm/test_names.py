@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from vinculo.llm import names as N
 
 GROUPS = [
@@ -45,27 +47,71 @@ def test_typos_on_several_nodes_are_linked(spark):
     assert got == set(itertools.combinations(range(5), 2)) | set(itertools.combinations(range(10, 14), 2))
 
 
-def test_segment_join_matches_brute_force(spark):
+def lev(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        p, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+    return d[-1]
+
+
+def within(a, b, k):
+    """The distance of a and b, a swap of neighbours and nothing else being one edit; None above k."""
+    if any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1)):
+        return 1 if k else None
+    d = lev(a, b)
+    return d if d <= k else None
+
+
+def allowed(n, bounds):
+    return sum(n >= x for x in bounds)
+
+
+@pytest.mark.parametrize("spare", [1, 2, 3])
+def test_segment_join_matches_brute_force(spark, spare):
     rng = random.Random(9)
     texts = list({"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 11))) for _ in range(250)})
-    df = spark.createDataFrame([(rng.choice("xy"), t) for t in texts], "b string, t string")
-    rows = [tuple(r) for r in df.collect()]
+    rows = [(rng.choice("xy"), t, 3, 0) for t in texts]
+    want = set()
+    for (b1, s, *_), (b2, t, *_) in itertools.combinations(rows, 2):
+        k = allowed(min(len(s), len(t)), N.EDITS)
+        if b1 == b2 and (d := within(s, t, k)) is not None:
+            want.add((b1, *((s, t) if len(s) > len(t) or len(s) == len(t) and s < t else (t, s)), d))
+    df = spark.createDataFrame(rows, "block string, text string, role int, up int")
+    assert {tuple(r) for r in N.segment_pairs(df, spare).collect()} == want
 
-    def lev(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            p, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
-        return d[-1]
 
-    want = set()
-    for (b1, s), (b2, t) in itertools.combinations(rows, 2):
-        if b1 == b2:
-            d, k = lev(s, t), N.edits(min(len(s), len(t)))
-            if d <= k:
-                want.add((b1, *sorted((s, t)), d))
-    assert {tuple(r) for r in N.segment_pairs(df, "b", "t").collect()} == want
+def test_probes_find_longer_texts_and_hot_keys_are_dealt(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = list({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 12))) for _ in range(300)})
+    rows = [("x", t, 1 + i % 2, 1) for i, t in enumerate(texts)]
+    want = {("x", s, t, d) for _, s, r, _ in rows if r == 1 for _, t, q, _ in rows if q == 2 and (d := within(s, t, allowed(len(t), N.TOKEN_EDITS))) is not None}
+    monkeypatch.setattr(N, "KEY_ROWS", 3)
+    monkeypatch.setattr(N.dealt_join, "__defaults__", (3,))
+    df = spark.createDataFrame(rows, "block string, text string, role int, up int")
+    assert {tuple(r) for r in N.segment_pairs(df, bounds=N.TOKEN_EDITS).collect()} == want
+
+
+def test_common_words_do_not_depend_on_size(spark):
+    """Many names more make no first name of a surname and none less of a first name."""
+    rng = random.Random(5)
+    coined = lambda: "".join(rng.choice(["ka", "bru", "ti", "sme", "plo", "dai", "ve", "gru"]) for _ in range(4))
+    for n in (40, 4000):
+        rows = [("Founder", ["fiona", coined()]) for _ in range(n // 4)] + [("Founder", [coined(), "smith"]) for _ in range(n)] + [("Investor", ["kestrel" if i % 9 else coined(), coined() if i % 9 else "kestrel", "capital"] if i % 3 else [coined(), coined(), "capital"]) for i in range(n // 4)]
+        got = {tuple(r)[:2] for r in N.common_words(spark.createDataFrame(rows, "label string, words array<string>")).collect()}
+        assert ("Founder", "fiona") in got and ("Founder", "smith") not in got and ("Investor", "capital") in got and ("Investor", "kestrel") not in got
+
+
+def test_a_name_that_leaves_something_out_joins_only_one(spark, monkeypatch):
+    rows = [(1, "Founder", "Abigail Depobleglu"), (2, "Founder", "A. Depobleglu"), (3, "Founder", "Andrew Krusmebasi"), (4, "Founder", "Abigail Krusmebasi"), (5, "Founder", "A. Krusmebasi")]
+    rows += [(11, "Investor", "Bloga Fitru Growth Fund"), (12, "Investor", "Bloga & Fitru GF"), (13, "Investor", "Bloga Fitru"), (14, "Investor", "Smowi Flifai Capital"), (15, "Investor", "Smowi Flifai Angels"), (16, "Investor", "Smowi Flifai")]
+    want = {(1, 2), (11, 12), (11, 13), (12, 13)}
+    monkeypatch.setattr(N, "PAIR_ROWS", 2)  # large groups are dealt out
+    own = N.members(spark.createDataFrame(rows, "node_id long, label string, name string"))
+    assert {tuple(r) for r in N.pairs(own).collect()} == want
+    classes = {r["node_id"]: (r["class_id"], r["links"]) for r in N.class_rows(own).collect()}
+    assert classes == {i: (i, 0) for i in (3, 4, 5, 14, 15, 16)} | {1: (1, 1), 2: (1, 1), 11: (11, 2), 12: (11, 2), 13: (11, 2)}
 
 
 def test_nulls_repeats_and_empty(spark):

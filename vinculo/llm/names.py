@@ -1,15 +1,20 @@
-"""Variant spellings of names typed by people (problem 5): a pigeonhole segment join over the cores of names.
+"""Variant spellings of names typed by people (problem 5): a pigeonhole segment join over the parts of names.
 
-A name is first read: titles, legal forms, bracketed remarks and invisible characters go; what many names of the label
-share (first names, ``Logistics``, ``Growth Fund``; found by counting, with a short list of usual ones) is told from
-the core that identifies (the surname, the coined words). Order, initials, nicknames and shortened words are settled
-here, so two spellings of one entity have the same core but for typos.
+A name is read into parts: titles, legal forms, bracketed remarks and invisible characters go; first names and
+descriptors (``Logistics``, ``Growth Fund``) are told from the surname or coined words by where they stand among all
+names of the label: a first name seldom stands last, a descriptor seldom first. That is a share of places, so it doesn't
+depend on how many names there are.
 
-Cores are then joined within k edits: each core is cut into k + 1 segments held in an inverted index by (block,
-length, segment); each core looks up those substrings of its own, shifted by the places that k edits allow, and the
-hits are verified by a banded edit distance. A block is the label and what must agree beside the core (descriptor and
-number of a firm, initial of a person). Short cores allow fewer edits, and on how many nodes a spelling stands makes no
-difference. The links make groups by the grid components.
+Parts are then joined within k edits. A part is looked for only among names that agree in another part (surnames beside
+one first name, first names beside one surname, coined words beside one descriptor, descriptors beside the same coined
+words): this is its block. Each part is cut into k + r segments; k edits spoil at most k of them, so the rest is found
+in an inverted index by (block, length, spoilt segments, rest), at the places that the edits allow (r = 1 is the plain
+form with k + 1 segments; more texts take a larger r, whose longer rests keep the hits few; the result is the same).
+Hits are verified by a banded edit distance, in short parts with a swap of neighbours as one edit. Equal parts are the
+hits without an edit. The links make groups by the grid components.
+
+A name that leaves something out (initial for a first name, no descriptor, initials of descriptors) joins the one group
+that answers to what it states, and none if there are several.
 
 Rows with a null id, label or name, and names without a letter, have no links. Every pair of nodes of a group comes
 out, equal names included.
@@ -17,31 +22,39 @@ out, equal names included.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import durable, lookup
 from .components import components
-from .strings import INVISIBLE, SegmentIndex, banded_distance, fold
-
-#: A word is common to a label if it has so many different neighbours, as a share of the label's distinct names and at
-#: least; so at most twice the words of a name / COMMON_SHARE are, at any size.
-COMMON_SHARE, COMMON_LEAST = 0.002, 5
-#: Readings of names that one task compares; sets only the number of tasks.
-PART_PROFILES = 20_000
+from .strings import INVISIBLE, fold
+
+#: A word is a first name or descriptor if beside so many different words, and in so large a share of its places.
+COMMON_LEAST, GIVEN_SHARE, DESCRIPTOR_SHARE = 5, 0.6, 0.8
+#: One that stands beside so many times fewer words than another near it, or begun by it, is a typo or beginning of that.
+RARER = 8
+#: Lengths from which a part and a single word may have one edit, and two.
+EDITS, TOKEN_EDITS = (5, 8), (3, 7)
+#: Texts of a join above which its signatures take one more segment; sets only the work.
+SPARE_STEPS = (1_000_000, 100_000_000)
+#: Rows of one key of a join above which they are dealt out to several tasks; sets only their size.
+KEY_ROWS = 20_000
+#: Members of a group that one task pairs with all others.
+PAIR_ROWS = 1_000
 # Forms and titles that identify nobody, usual words of firm names and their short forms, nicknames.
 LEGAL = set("inc incorporated llc llp lp ltd limited gmbh ag kg co corp corporation sa sarl srl spa plc bv nv oy ab as aps pty kk the".split())
 COMPANY_TAILS = set("group technologies technology startup hq company".split())
+TAILS = {w for w in LEGAL | COMPANY_TAILS if len(w) > 6}
 TITLES = set("mr mrs ms miss dr prof professor sir dame jr sr phd md herr frau".split())
 DESCRIPTORS = set(
-    "logistics analytics health software studios robotics systems energy security mobility foods labs capital partners ventures holdings angels fund growth seed equity investment management opportunity "
+    "logistics analytics health software studios robotics systems energy security mobility foods labs capital partners ventures holdings angels fund growth seed equity group investment management opportunity "
     "solutions networks media consulting services industries bank insurance biotech pharma motors airlines advisors associates".split()
 )
-SHORT_WORDS = {"sw": "software", "vc": "ventures", "gf": "fund growth", "pe": "equity", "im": "investment management", "std": "studios", "mgmt": "management", "eg": "equity group", "sf": "fund seed", "hldgs": "holdings", "laboratories": "labs", "laboratory": "labs", "tech": "technologies", "ptnrs": "partners", "intl": "international"}
+SHORT_WORDS = {"sw": "software", "vc": "ventures", "mgmt": "management", "hldgs": "holdings", "laboratories": "labs", "laboratory": "labs", "tech": "technologies", "ptnrs": "partners", "intl": "international", "grp": "group", "eq": "equity", "angel": "angels"}
 NICKNAMES = {
     n: full
     for full, names in {
@@ -54,17 +67,17 @@ NICKNAMES = {
     }.items()
     for n in names.split()
 }
+#: Descriptors that say nothing beside others.
+GENERIC = {"group", "fund"}
 #: Nicknames of a second name; such a person is read both ways.
-SECOND = {"ted": "edward", "ned": "edmund", "chris": "christina", "alex": "alexandra", "sam": "samuel", "jo": "joanna", "steph": "stephen", "val": "valerie", "kit": "katherine", "pat": "patrick", "nat": "natalie"}
+SECOND = {"ted": "edward", "ned": "edmund", "chris": "christina", "alex": "alexandra", "sam": "samuel", "jo": "joanna", "steph": "stephen", "val": "valerie valentina", "kit": "katherine", "pat": "patrick", "nat": "natalie", "tom": "tomas"}
+FULL = set(NICKNAMES.values())
 ROMAN = re.compile(r"^(?=[ivx])(x{0,3}(ix|iv|v?i{0,3}))$")
 DOTTED = re.compile(r"\b(s\.\s?a\.\s?r\.\s?l|s\.\s?a\.?\s?r\.?\s?l|s\.\s?a|l\.\s?p|l\.\s?l\.\s?c|s\.\s?r\.\s?l|b\.\s?v|n\.\s?v)\b\.?", re.I)
 BRACKETS = re.compile(r"\([^)]*\)?|\[[^\]]*\]|[™®©]")
 CAMEL = re.compile(r"(?:[A-Z][a-z]{2,}){2,}")
 
 
-def edits(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 8 else 2
-
 
 def words_of(name: str) -> list[str]:
     """The folded words of a name without brackets, signs and dotted legal forms; joined words are parted at capitals."""
@@ -74,356 +87,375 @@ def words_of(name: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", fold(name.replace("'", "").replace("’", ""))) if w and w != "and"]
 
 
-class Reader:
-    """Reads names of one label, given the words common to it."""
-
-    def __init__(self, label: str, common: Counter):
-        self.person = label == "Founder"
-        if self.person:
-            self.given = {w for w in common if w.isalpha() and len(w) > 1 and w not in TITLES} | set(NICKNAMES.values())
-            self.near = SegmentIndex(self.given, lambda n: 0 if n < 4 else 1 if n < 7 else 2)
-        else:
-            drop = LEGAL | (COMPANY_TAILS if label == "Company" else set())
-            self.drop = drop
-            self.numbered = label != "Company"
-            self.known = {w for w in common if w.isalpha() and len(w) > 3 and w not in drop and w not in SHORT_WORDS and re.search("[aeiou]", w[1:])} | DESCRIPTORS | (set() if label == "Company" else {"group"})
-            self.near = SegmentIndex({w for w in self.known | drop if len(w) > 4}, lambda n: 1 if n < 6 else 2)
-            self.memo: dict[str, str | None] = {}
-
-    def read(self, name: str) -> list[tuple[str, str, str, str, list[str]]]:
-        """(core, beside, first, middle, words of the core); ``beside`` must agree, ``first`` and ``middle`` be compatible."""
-        got = self._person(name) if self.person else self._firm(name)
-        if not got:
-            return []
-        second = self.person and next((SECOND[w] for w in words_of(name) if NICKNAMES.get(w) == got[2] and w in SECOND), None)
-        return [got, (got[0], second[0], second, *got[3:])] if second else [got]
-
-    def _given(self, w: str) -> str | None:
-        """The first name that a word stands for."""
-        if w in NICKNAMES:
-            return NICKNAMES[w]
-        if w in self.given:
-            return w
-        found = self.near.search(w)
-        return min(found, key=lambda g: (found[g], g)) if found else None
-
-    def _person(self, name: str):
+def split_name(label: str, name: str) -> tuple[list[str], int]:
+    """The words of a name in usual order, and how many of the last are a surname by a comma (0 if nothing tells)."""
+    if label == "Founder":
         comma = re.match(r"\s*([^,]+),\s*([^,]+)$", BRACKETS.sub(" ", name))
         if comma:
-            last, ws = words_of(comma[1]), words_of(comma[2])
-            ws = [w for w in ws if w not in TITLES]
-            if not last or not ws:
-                return None
-            first, middle = ws[0], "".join(ws[1:2])
-        else:
-            ws = [w for w in words_of(name) if w not in TITLES]
-            if len(ws) < 2:
-                return (ws[0], "", "", "", ws) if ws and len(ws[0]) > 1 else None
-            exact = [w in self.given or w in NICKNAMES or len(w) == 1 for w in ws]
-            likely = exact if any(exact[:-1]) or (exact[-1] and not exact[0]) else [x or self._given(w) is not None for x, w in zip(exact, ws)]
-            if likely.count(False) > 1:
-                # a first name with a typo: the first word, the last behind a surname, or a long one; not a part of a surname
-                for i, w in enumerate(ws):
-                    placed = i == 0 or i == len(ws) - 1 and not exact[0] or len(w) > 5
-                    if not likely[i] and likely.count(False) > 1 and placed and len(w) > 3 and self._given(w):
-                        likely[i] = True
-            if all(likely):
-                likely[-1] = False
-            if not any(likely):
-                likely[0] = True
-            # what isn't a first name is the surname, in one stretch that ends or begins the name
-            end = len(ws)
-            while end and likely[end - 1]:
-                end -= 1
-            start = 0
-            while start < end and likely[start]:
-                start += 1
-            if end < len(ws) and start and end:  # first names on both sides: a middle name or initial behind the surname is none
-                end = end if start == 0 else len(ws) if not any(len(w) > 1 for w in ws[end:]) else end
-            last = [w for w in ws[start:end] if len(w) > 1] or ws[start:end]
-            rest = ws[:start] + ws[end:]
-            if not rest:
-                return None
-            first, middle = rest[0], "".join(rest[1:2])
-        core = "".join(last)
-        # a short beginning of a first name stands for itself until it is compared
-        full = NICKNAMES.get(first, first)
-        full = self._given(full) or full if len(full) > 3 else full
-        return core, full[:1], full, NICKNAMES.get(middle, middle), last
-
-    def _descriptor(self, w: str) -> str | None:
-        if w in self.memo:
-            return self.memo[w]
-        out = None
-        if w in self.known:
-            out = w
-        elif w in SHORT_WORDS:
-            out = SHORT_WORDS[w]
-        elif len(w) > 3 and (found := self.near.search(w)):
-            out = min(found, key=lambda g: (found[g], g))
-            out = "" if out in self.drop else out
-        elif len(w) > 2:
-            fits = [k for k in DESCRIPTORS if k.startswith(w)]
-            if not fits and not re.search("[aeiou]", w[1:]):
-                fits = [k for k in DESCRIPTORS if k[0] == w[0] and _within(w, k)]
-            out = fits[0] if len(fits) == 1 else None
-        elif w in ("eq", "gr"):
-            out = {"eq": "equity", "gr": "growth"}[w]
-        self.memo[w] = out
-        return out
-
-    def _firm(self, name: str):
-        ws = words_of(name)
-        ws = [w for w in ws if w not in self.drop] or ws
-        core: list[str] = []
-        beside: set[str] = set()
-        number = ""
-        for i, w in enumerate(ws):
-            if i and self.numbered and ROMAN.match(w) and not number:
-                number = w
-                continue
-            d = self._descriptor({"grp": "group"}.get(w, w)) if len(ws) > 1 else None
-            if d is not None:
-                beside |= set(d.split())
-            else:
-                core.append(w)
-        if not core:
-            core, beside = ws, set()
-        if len(core) == 1 and not beside:
-            w = core[0]
-            cut = next((k for k in sorted(self.known, key=len, reverse=True) if len(k) > 3 and w.endswith(k) and len(w) - len(k) > 3), None)
-            if cut:
-                core, beside = [w[: -len(cut)]], {cut}
-        # Angels are also an angel group; a management company of investments is one word less
-        beside = {"angels" if b == "angel" else b for b in beside}
-        if "angels" in beside:
-            beside.discard("group")
-        if "seed" in beside:
-            beside.discard("fund")
-        initials = [w for w in core if len(w) == 1] if self.numbered else []
-        wordy = [w for w in core if len(w) > 1 or not self.numbered]
-        if not wordy:
-            return None
-        first = initials[0] if initials and len(wordy) == 1 else ""
-        return "".join(sorted(wordy)), " ".join(sorted(beside)) + "|" + number, first, "", wordy
-
-
-def _within(short: str, word: str) -> bool:
+            last, rest = words_of(comma[1]), [w for w in words_of(comma[2]) if w not in TITLES]
+            if last and rest:
+                return rest + last, len(last)
+        return [w for w in words_of(name) if w not in TITLES], 0
+    drop = LEGAL | COMPANY_TAILS if label == "Company" else LEGAL
+    words = words_of(name)
+    return [w for w in words if w not in drop] or words, 0
+
+
+def _skeleton(short: str, word: str) -> bool:
     rest = iter(word)
-    return all(c in rest for c in short)
+    return short[0] == word[0] and all(c in rest for c in short)
 
 
-def compatible(a: str, b: str) -> bool:
-    """Whether two first names can be one: equal, an initial, a beginning, or a typo apart."""
-    if a == b or not a or not b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) == 1 or len(a) > 2 and b.startswith(a):
-        return a[0] == b[0]
-    k = 2 if len(b) > 5 else 1
-    return len(a) > 2 and banded_distance(a, b, k) <= k
+def descriptor(word: str) -> str | None:
+    """The descriptor that a word is or shortens, of those that every list of firms has."""
+    if word in DESCRIPTORS:
+        return word
+    if word in SHORT_WORDS:
+        return SHORT_WORDS[word]
+    if len(word) < 3:
+        return None
+    fits = [d for d in DESCRIPTORS if d.startswith(word)]
+    if not fits and not re.search("[aeiou]", word[1:]):
+        fits = [d for d in DESCRIPTORS if _skeleton(word, d)]
+    return fits[0] if len(fits) == 1 else None
 
 
-def common_words(words: DataFrame) -> dict[str, Counter]:
-    """Per label the words that stand beside many different words; ``words`` are ``label, words`` of distinct names.
+def read_person(words: list[str], meant: list[tuple[str, int] | None], tail: int) -> list[dict]:
+    """The readings of a person's name: usually one, two for a nickname of two names.
 
-    A first name or ``Logistics`` has many neighbours, a surname has those of one or two people. Only the labels with
-    the most names are looked at, more than any graph has.
+    ``meant`` has for each word the first name that it is or, some edits apart, may be.
     """
-    totals = words.groupBy("label").agg(F.count("*").alias("names")).orderBy(F.desc("names"), "label").limit(64)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(F.get("words", i).alias("w"), F.get("words", i + 1).alias("o")))
-    beside = words.where(F.size("words") > 1).select("label", F.inline(pairs))
-    beside = beside.unionByName(beside.select("label", F.col("o").alias("w"), F.col("w").alias("o")))
-    beside = beside.where((F.length("w") > 1) & (F.length("o") > 2)).distinct().groupBy("label", "w").count()
-    least = F.greatest(F.lit(float(COMMON_LEAST)), F.col("names") * COMMON_SHARE)
-    out: dict[str, Counter] = {r["label"]: Counter() for r in totals.collect()}
-    for r in beside.join(F.broadcast(totals), "label").where(F.col("count") >= least).collect():
-        out[r["label"]][r["w"]] = r["count"]
+    if not words or len(words) == 1 and len(words[0]) < 2:
+        return []
+    known = [w in NICKNAMES or w in FULL or len(w) == 1 or m is not None and not m[1] for w, m in zip(words, meant)]
+    near = {w: m[0] for w, m in zip(words, meant) if m}
+    if len(words) == 1:
+        first, middle, last = "", "", words
+    elif tail:
+        first, middle, last = words[0], "".join(words[1:-tail][:1]), words[-tail:]
+    else:
+        likely = list(known)
+        for i, w in enumerate(words):  # first names with a typo; not a part of a surname
+            placed = i == 0 or i == len(words) - 1 and not known[0] or len(w) > 5
+            likely[i] |= likely.count(False) > 1 and placed and w in near
+        if all(likely):
+            likely[-1] = False
+        if not likely[0] and (not any(likely) or not likely[-1] and any(likely)):
+            likely[0] = True
+        end = len(words)
+        while end and likely[end - 1]:
+            end -= 1
+        start = 0
+        while start < end and likely[start]:
+            start += 1
+        if start and end < len(words) and all(len(w) == 1 for w in words[end:]):  # an initial behind the surname is a middle one
+            words = words[:start] + words[end:] + words[start:end]
+            start, end = start + len(words) - end, len(words)
+        last = [w for w in words[start:end] if len(w) > 1] or words[start:end]
+        rest = words[:start] + words[end:]
+        if not rest:
+            return []
+        first, middle = rest[0], "".join(rest[1:2])
+    core = "".join(last)
+    out = []
+    for full in dict.fromkeys([NICKNAMES.get(first) or near.get(first, first), *SECOND.get(first, "").split()]):
+        begun = 0 < len(full) < 4 and full not in FULL and first not in near
+        views = [("V", f"1|{full}", core, 3, 0)]
+        if begun:
+            views += [("V", f"3|{full}", core, 1, 1), ("O", f"3|{full}", core, 0, 0)]
+        elif full:
+            if first not in near and first not in NICKNAMES:
+                views.append(("V", f"2|{core}", full, 3, 0))
+            views += [(kind, f"3|{full[:n]}", core, role, 1) for n in (1, 2, 3) if len(full) > n for kind, role in (("V", 2), ("K", 0))]
+        out.append({"core": core, "beside": "", "first": full, "middle": NICKNAMES.get(middle) or near.get(middle, middle), "views": views})
     return out
 
 
+def read_firm(words: list[str], meant: list[tuple[str, int] | None], numbered: bool) -> list[dict]:
+    """The readings of a firm's name: coined words, descriptors, number and an initial for a coined word."""
+    core, typed, number = [], [], ""
+    for i, (w, m) in enumerate(zip(words, meant)):
+        if i and numbered and not number and ROMAN.match(w):
+            number = w
+            continue
+        d = (descriptor(w) or m and m[0]) if len(words) > 1 else None
+        if d in TAILS and len(core) + len(typed) + len(words) - i > 1:
+            continue
+        if d:
+            typed += [x for x in d.split() if x not in typed]
+        else:
+            core.append(w)
+    if not core:
+        core, typed = [w for w in words if w != number] or words, []
+    if len(core) == 1 and not typed:
+        cut = next((d for d in sorted(DESCRIPTORS, key=len, reverse=True) if core[0].endswith(d) and len(core[0]) - len(d) > 3), None)
+        if cut:
+            core, typed = [core[0][: -len(cut)]], [cut]
+    initials = [w for w in core if len(w) == 1] if numbered else []
+    wordy = [w for w in core if len(w) > 1 or not numbered]
+    if not wordy:
+        return []
+    first = initials[0] if len(initials) == 1 and len(wordy) == 1 else ""
+    said = sorted(set(typed) - GENERIC) or sorted(typed)
+    beside, joined = " ".join(said), "".join(wordy)
+    texts = dict.fromkeys([joined, "".join(sorted(wordy))])
+    views = [("V", f"1|{beside}|{number}|{first}", t, 3, 0) for t in texts]
+    if first:
+        views.append(("O", f"4|{beside}|{number}|{first}", wordy[0], 0, 0))
+    else:
+        if len(wordy) == 2:
+            views += [("K", f"4|{beside}|{number}|{a[0]}", b, 0, 0) for a, b in (wordy, wordy[::-1])]
+        # a name with fewer of the descriptors joins the only one that has them all
+        views += [("O", f"3|{beside}|{number}", t, 0, 0) for t in texts]
+        if typed or number:
+            views += [("K", "3||", t, 0, 0) for t in texts]
+        if 1 < len(said) < 5:
+            fewer = [" ".join(x) for n in range(1, len(said)) for x in itertools.combinations(said, n)]
+            views += [("K", f"3|{x}|{number}", t, 0, 0) for x in fewer for t in texts]
+        if len(typed) > 1:
+            views += [("K", f"5|{number}|{''.join(x[0] for x in typed)}", t, 0, 0) for t in texts]
+        if len(wordy) > 1 and len(wordy[-1]) < 4 and not typed:
+            views.append(("O", f"5|{number}|{wordy[-1]}", "".join(wordy[:-1]), 0, 0))
+    return [{"core": joined, "beside": f"{beside}|{number}", "first": first, "middle": "", "views": views}]
+
+
+def common_words(words: DataFrame) -> DataFrame:
+    """``label, word, n`` of first names and descriptors, from the ``label, words`` of distinct names."""
+    person = F.col("label") == "Founder"
+    several = words.select("label", F.filter("words", lambda w: F.length(w) > 1).alias("ws")).where("size(ws) > 1")
+    # the places of a name: the last against the others for persons, the first against the others for firms
+    far = F.when(person, F.element_at("ws", -1)).otherwise(F.get("ws", F.lit(0)))
+    near = F.when(person, F.get("ws", F.lit(0))).otherwise(F.get("ws", F.lit(1)))
+    at = F.when(person, F.size("ws") - 1).otherwise(F.lit(0))
+    places = several.select("label", F.posexplode("ws").alias("i", "word"), at.alias("at"), far.alias("far"), near.alias("near"))
+    places = places.select("label", "word", (F.col("i") == F.col("at")).alias("head"), F.when(F.col("i") == F.col("at"), F.col("near")).otherwise(F.col("far")).alias("other")).distinct()
+    seen = places.groupBy("label", "word").agg(F.sum((~F.col("head")).cast("long")).alias("n"), F.count("*").alias("all"))
+    share = F.when(person, F.lit(GIVEN_SHARE)).otherwise(F.lit(DESCRIPTOR_SHARE))
+    return seen.where((F.col("n") >= COMMON_LEAST) & (F.col("n") >= share * F.col("all"))).where(person | F.col("word").rlike("^[a-z]{4,}$")).select("label", "word", "n")
+
+
+def meanings(words: DataFrame) -> DataFrame:
+    """``key, meant, d``: of each distinct word (``label word``) the first name or descriptor it is or has a typo of."""
+    usual = [("Founder", w) for w in sorted(FULL)] + [(label, w) for label in ("Company", "Investor") for w in sorted(DESCRIPTORS | TAILS)]
+    usual = words.sparkSession.createDataFrame(usual, "label string, word string").withColumn("usual", F.lit(True))
+    known = durable(common_words(words).join(usual, ["label", "word"], "full").select("label", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("usual", F.lit(False)).alias("usual")))
+    tokens = words.where("size(words) > 1").select("label", F.explode("words").alias("word")).where("length(word) > 3").distinct()
+    both = tokens.withColumn("role", F.lit(1)).unionByName(known.select("label", "word", F.lit(2).alias("role")))
+    texts = durable(both.groupBy(F.col("label").alias("block"), F.col("word").alias("text")).agg(F.expr("bit_or(role)").alias("role"), F.lit(1).alias("up")))
+    near = durable(segment_pairs(texts, bounds=TOKEN_EDITS))
+    own = known.select(F.col("label").alias("block"), F.col("word").alias("a"), F.col("n").alias("own"), "usual")
+    more = known.select(F.col("label").alias("block"), F.col("word").alias("b"), F.col("n").alias("more"))
+    pairs = durable(near.join(more, ["block", "b"]).join(own, ["block", "a"], "left"))
+    rarer = "not usual and more >= own * " + str(RARER)
+    shorts = more.where("block = 'Founder' and length(b) > 3").select("block", "more", F.explode(F.array(F.substring("b", 1, 2), F.substring("b", 1, 3))).alias("a")).groupBy("block", "a").agg(F.max("more").alias("more"))
+    begun = own.where("length(a) < 4").join(shorts, ["block", "a"]).where(rarer).select("block", "a")
+    wrong = durable(pairs.where(rarer).select("block", "a").unionByName(begun).distinct())
+    typos = pairs.where("own is null or " + rarer).join(wrong.withColumnRenamed("a", "b"), ["block", "b"], "left_anti")
+    typos = typos.groupBy("block", "a").agg(F.min(F.struct("d", (-F.col("more")).alias("o"), F.col("b").alias("meant"))).alias("m")).select("block", "a", "m.meant", "m.d")
+    right = own.join(wrong, ["block", "a"], "left_anti").select("block", "a", F.col("a").alias("meant"), F.lit(0).alias("d"))
+    return right.unionByName(typos).select(F.concat_ws(" ", "block", "a").alias("key"), "meant", "d")
+
+
+VIEW = "array<struct<kind:string,block:string,text:string,role:int,up:int>>"
+
+
 def read_names(nodes: DataFrame) -> DataFrame:
-    """``label, name, core, beside, first, middle, words`` for each distinct name of a label; a few have two readings."""
-    names = nodes.select("label", "name").distinct()
+    """``label, name, core, beside, first, middle, views`` for each distinct name of a label; a few have two readings."""
+    conf = nodes.sparkSession.conf
+    # few bytes but much work a row: as many tasks as the cluster runs, whatever the bytes
+    spread = max(nodes.sparkSession.sparkContext.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))
+    names = nodes.select("label", "name").distinct().repartition(spread)
 
     def cut(batches):
         for pdf in batches:
-            pdf["words"] = [words_of(n) for n in pdf["name"]]
-            yield pdf
+            both = [split_name(label, name) for label, name in zip(pdf["label"], pdf["name"])]
+            yield pdf.assign(words=[b[0] for b in both], tail=[b[1] for b in both])
 
-    words = durable(names.mapInPandas(cut, "label string, name string, words array<string>"))
-    common = common_words(words)
-    shared = nodes.sparkSession.sparkContext.broadcast(common)
+    words = names.mapInPandas(cut, "label string, name string, words array<string>, tail int").where("size(words) > 0")
+    numbered = durable(words.withColumn("id", F.monotonically_increasing_id()))
+    single = numbered.select("id", F.posexplode("words").alias("i", "w"), "label").select("id", "i", F.concat_ws(" ", "label", "w").alias("key"))
+    # one word may stand in a third of all names
+    meant = lookup(durable(single), durable(meanings(numbered)), "key", "inner").groupBy("id").agg(F.collect_list(F.struct("i", "meant", "d")).alias("meant"))
 
     def run(batches):
-        readers: dict[str, Reader] = {}
         for pdf in batches:
             rows = []
-            for label, name in zip(pdf["label"], pdf["name"]):
-                if label not in readers:
-                    readers[label] = Reader(label, shared.value.get(label, Counter()))
-                rows += [(label, name, *got) for got in readers[label].read(name)]
-            yield pd.DataFrame(rows, columns=["label", "name", "core", "beside", "first", "middle", "words"])
+            for label, name, ws, tail, meant in zip(pdf["label"], pdf["name"], pdf["words"], pdf["tail"], pdf["meant"]):
+                at = {} if meant is None else {m["i"]: (m["meant"], m["d"]) for m in meant}
+                each = [at.get(i) for i in range(len(ws))]
+                found = read_person(list(ws), each, tail) if label == "Founder" else read_firm(list(ws), each, label != "Company")
+                rows += [(label, name, r["core"], r["beside"], r["first"], r["middle"], r["views"]) for r in found]
+            yield pd.DataFrame(rows, columns=["label", "name", "core", "beside", "first", "middle", "views"])
+
+    return numbered.join(meant, "id", "left").drop("id").repartition(spread).mapInPandas(run, f"label string, name string, core string, beside string, first string, middle string, views {VIEW}")
 
-    return words.select("label", "name").mapInPandas(run, "label string, name string, core string, beside string, first string, middle string, words array<string>")
 
+def _allowed(n: Column, bounds: tuple[int, int]) -> Column:
+    return F.when(n < bounds[0], 0).when(n < bounds[1], 1).otherwise(2)
 
-def segment_pairs(cores: DataFrame, block: str, text: str) -> DataFrame:
-    """``block, a, b, d`` of the texts of one block that are within the edits their lengths allow; a < b never repeats.
 
-    ``cores`` has distinct ``block, text``. The longer (or, of equal length, either) text looks up its substrings in
-    the index of the shorter; the places are those that the edits before and behind a segment leave possible.
+def _signatures(rows: DataFrame, spare: int, m: Column, bounds: tuple[int, int], *, probing: bool) -> DataFrame:
+    """``rows`` (with ``t``) by every choice of k spoilt segments of a text of length ``m``: ``i, j, sig``.
+
+    ``sig`` is what stands outside them. An index has t itself as that text; a probe's t comes from it by edits, so
+    what follows the first edit is shifted, and what follows both by the difference of the lengths.
     """
-    rows = cores.select(F.col(block).alias("block"), F.col(text).alias("t"), F.length(text).alias("n"))
-    k_of = lambda n: F.when(n < 5, 0).when(n < 8, 1).otherwise(2)
-    rows = rows.withColumn("k", k_of(F.col("n"))).where("k > 0")
-    start = lambda i, n, k: (i * n / (k + 1)).cast("int")
-    segment = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), F.substring(F.col("t"), start(i, F.col("n"), F.col("k")) + 1, start(i + 1, F.col("n"), F.col("k")) - start(i, F.col("n"), F.col("k"))).alias("part")))
-    index = rows.select("block", "t", "n", F.inline(segment))
-
-    # for each length m of the indexed text, its k, segment i and possible place p
-    lengths = F.sequence(F.greatest(F.lit(5), F.col("n") - F.col("k")), F.col("n"))
-    probe = rows.select("block", "t", "n", F.explode(lengths).alias("m")).withColumn("k", k_of(F.col("m"))).where("n - m <= k")
-    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    delta = F.col("n") - F.col("m")
-    at, size = start(F.col("i"), F.col("m"), F.col("k")), start(F.col("i") + 1, F.col("m"), F.col("k")) - start(F.col("i"), F.col("m"), F.col("k"))
-    low = F.greatest(F.lit(0), at - F.col("i"), at + delta - (F.col("k") - F.col("i")))
-    high = F.least(F.col("n") - size, at + F.col("i"), at + delta + (F.col("k") - F.col("i")))
-    probe = probe.select("block", "t", "m", "i", "k", low.alias("lo"), high.alias("hi"), size.alias("size")).where("lo <= hi")
-    probe = probe.select("block", F.col("t").alias("long"), F.col("m").alias("n"), "i", "k", F.explode(F.transform(F.sequence("lo", "hi"), lambda p: F.substring(F.col("t"), p + 1, F.col("size")))).alias("part"))
-    hits = probe.distinct().join(index.withColumnRenamed("t", "short"), ["block", "n", "i", "part"]).where("short <> long and (length(short) < length(long) or short < long)")
-    hits = hits.withColumn("d", F.expr("levenshtein(short, long, k)")).where("d >= 0")
-    return hits.select("block", F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), "d").distinct()
-
-
-class _Sets:
-    """Disjoint sets."""
-
-    def __init__(self, items):
-        self.top = {x: x for x in items}
-
-    def find(self, x):
-        while self.top[x] != x:
-            self.top[x] = x = self.top[self.top[x]]
-        return x
-
-    def join(self, a, b) -> None:
-        self.top[self.find(a)] = self.find(b)
-
-
-def _near(words) -> _Sets:
-    """Words a typo apart, in sets; looked up in an index, as there may be many."""
-    sets = _Sets(words)
-    index = SegmentIndex(sets.top, lambda n: 0 if n < 3 else 1 if n < 6 else 2)
-    for w in sets.top:
-        for other in index.search(w):
-            sets.join(w, other)
-    return sets
-
-
-def _same_person(variants: list[tuple[int, str, str]]) -> list[tuple[int, int]]:
-    """Links between the (id, first, middle) variants of one surname and initial.
-
-    Written-out first names a typo apart are one person unless all have middle names and these don't fit. An initial
-    or a beginning joins the only person it fits. Nothing here compares all pairs of a surname that many people have.
+    n = F.length("t")
+    shift = n - m
+    rows = rows.withColumn("k", _allowed(m, bounds)).where("k > 0")
+    k = F.col("k")
+    picks = [F.array(*[F.struct(F.lit(s[0]).alias("i"), F.lit(s[-1]).alias("j")) for s in itertools.combinations(range(e + spare), e)]) for e in (1, 2)]
+    rows = rows.select("*", F.inline(F.when(k == 1, picks[0]).otherwise(picks[1])))
+    i, j = F.col("i"), F.col("j")
+    between = j > i + 1
+    if probing:
+        moved = F.when(~between, F.array(F.lit(0))).when(shift == 0, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.sequence(F.least(F.lit(0), shift), F.greatest(F.lit(0), shift)))
+        rows = rows.withColumn("by", F.explode(moved))
+    else:
+        rows = rows.withColumn("by", F.lit(0))
+    cut = lambda s: (s * m / (k + spare)).cast("int")
+    part = lambda a, b: F.when((b > a) & (a >= 0), F.substring("t", a + 1, b - a)).otherwise(F.lit(""))
+    # one edit may be a swap, which reaches a letter into the next segment
+    swap = F.when(k == 1, 1).otherwise(0)
+    sig = F.concat_ws("\x01", part(F.lit(0), cut(i)), F.when(between, part(cut(i + 1) + F.col("by"), cut(j) + F.col("by"))), part(cut(j + 1) + swap + shift, n))
+    return rows.withColumn("sig", sig).drop("by")
+
+
+def distance(a: Column, b: Column, k: Column) -> Column:
+    """The banded edit distance of two texts if it is at most k, else null; a single swap of neighbours is one edit."""
+    swapped = F.exists(F.sequence(F.lit(1), F.length(a) - 1), lambda p: F.concat(F.substring(a, F.lit(1), p - 1), F.substring(a, p + 1, F.lit(1)), F.substring(a, p, F.lit(1)), F.substring(a, p + 2, F.length(a))) == b)
+    two = F.levenshtein(a, b, 2)
+    return F.when((two == 2) & (F.length(a) == F.length(b)) & swapped, F.lit(1)).when((two >= 0) & (two <= k), two)
+
+
+def segment_pairs(texts: DataFrame, spare: int | None = None, bounds: tuple[int, int] = EDITS) -> DataFrame:
+    """``block, a, b, d`` of different texts of one block within the edits that the length of b allows.
+
+    ``texts`` has ``block, text, role, up``, distinct and stored. A role of 1 probes, of 2 is in the index, of 3 both; b is
+    in the index. Texts that all have role 3 and ``up`` 0 look for shorter or equally long ones only and so come out
+    once, a before b; with ``up`` 1 a probe looks for longer ones too.
     """
-    begun = {v[1][:n] for v in variants for n in (1, 2, 3) if len(v[1]) > n}
-    full = [v for v in variants if len(v[1]) > 3 or len(v[1]) == 3 and v[1] not in begun]
-    part = sorted((v for v in variants if len(v[1]) < 3 or len(v[1]) == 3 and v[1] in begun), key=lambda v: (-len(v[1]), v))
-    people = _Sets(v[0] for v in variants)
-    firsts = _near({v[1] for v in full})
-    by_first: dict[str, list] = {}
-    for v in full:
-        by_first.setdefault(firsts.find(v[1]), []).append(v)
-    for group in by_first.values():
-        middles = _near({m for _, _, m in group if len(m) > 1})
-        head: dict[str, int] = {}
-        open_middle = any(not m for _, _, m in group)
-        for i, _, m in sorted(group, key=lambda v: (-len(v[2]), v)):
-            key = "" if open_middle else middles.find(m) if len(m) > 1 else next((k for k in head if k[:1] == m), m)
-            people.join(i, head.setdefault(key, i))
-    starts: dict[str, list] = {}
-    for v in full:
-        for n in (1, 2, 3):
-            starts.setdefault(v[1][:n], []).append(v)
-    for a in part:
-        fits: set[int] = set()
-        for b in starts.get(a[1], ()):
-            if compatible(a[2], b[2]):
-                fits.add(people.find(b[0]))
-                if len(fits) > 1:
-                    break
-        if len(fits) == 1:
-            people.join(a[0], fits.pop())
-        for n in range(1, len(a[1]) + 1):
-            starts.setdefault(a[1][:n], []).append(a)
-    return [(x, people.find(x)) for x in people.top if people.find(x) != x]
-
-
-def profile_links(profiles: DataFrame) -> DataFrame:
-    """``u, v`` of the profiles that mean one entity; a profile is a distinct reading of names with its number of nodes."""
-    person = F.col("label") == "Founder"
-    own = profiles.select("id", "label", "core", "beside", "first", "middle", "words", "n")
-
-    # persons of one surname and initial; a task gets many such groups, each whole
-    def same(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[tuple, list] = {}
-        for row in zip(pdf["core"].tolist(), pdf["beside"].tolist(), pdf["id"].tolist(), pdf["first"].tolist(), pdf["middle"].tolist()):
-            groups.setdefault(row[:2], []).append(row[2:])
-        return pd.DataFrame([link for g in groups.values() for link in _same_person(g)], columns=["u", "v"])
-
-    spread = max(profiles.sparkSession.sparkContext.defaultParallelism, -(-profiles.count() // PART_PROFILES))
-    shared = own.where(person).groupBy("core", "beside").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    part = F.pmod(F.xxhash64("core", "beside"), F.lit(spread)).cast("int")
-    persons = own.where(person).join(shared, ["core", "beside"], "left_semi").groupBy(part.alias("part")).applyInPandas(same, "u long, v long")
-
-    # a firm without a descriptor is the only one of its core
-    firms = own.where(~person & (F.col("first") == ""))
-    only = firms.groupBy("label", "core").agg(F.count_distinct("beside").alias("c"), F.min(F.when(F.col("beside") == "|", F.col("id"))).alias("u"), F.min(F.when(F.col("beside") != "|", F.col("id"))).alias("v"))
-    dropped = only.where("c = 2 and u is not null and v is not null").select("u", "v")
-
-    # a firm with a shortened first word is the only one with that initial
-    halves = firms.where(F.size("words") == 2).select("id", "label", "beside", "n", F.explode(F.array(F.struct(F.get("words", F.lit(0)).alias("cut"), F.get("words", F.lit(1)).alias("core")), F.struct(F.get("words", F.lit(1)).alias("cut"), F.get("words", F.lit(0)).alias("core")))).alias("h"))
-    halves = halves.select(F.col("id").alias("v"), "label", "beside", F.substring("h.cut", 1, 1).alias("first"), F.col("h.core").alias("core"), "n", F.concat("h.cut", "h.core").alias("name"))
-    short = own.where(~person & (F.col("first") != "")).select(F.col("id").alias("u"), "label", "beside", "first", "core")
-    meant = durable(short.join(halves, ["label", "beside", "first", "core"]).select("u", "v", "n", "name"))
-    # spellings of one name a typo apart are one candidate, the most frequent of them
-    best = meant.groupBy("u").agg(F.max_by(F.struct("v", "name"), F.struct("n", -F.col("v"))).alias("b"))
-    apart = meant.join(best, "u").withColumn("far", F.levenshtein("name", F.col("b.name"), 2) < 0)
-    initials = apart.groupBy("u").agg(F.min("b.v").alias("v"), F.max("far").alias("far")).where("not far").select("u", "v")
-
-    # typos: views are the core and, of two words, both orders
-    two = F.when(~person & (F.size("words") == 2), F.array(F.concat(F.get("words", F.lit(0)), F.get("words", F.lit(1))), F.concat(F.get("words", F.lit(1)), F.get("words", F.lit(0))))).otherwise(F.array("core"))
-    block = F.concat_ws("#", "label", "beside", F.when(person, F.lit("")).otherwise(F.col("first")))
-    views = durable(own.select("id", "first", "middle", block.alias("block"), F.explode(F.array_distinct(two)).alias("view")))
-    heads = views.where(F.col("first") == "").groupBy("block", "view").agg(F.min("id").alias("v"))
-    equal = views.where(F.col("first") == "").join(heads, ["block", "view"]).where("id <> v").select(F.col("id").alias("u"), "v")
-    cores = views.select("block", "view").distinct()
-    near = durable(segment_pairs(durable(cores), "block", "view"))
-    left = near.join(views.select("block", F.col("view").alias("a"), F.col("id").alias("u"), F.col("first").alias("f1"), F.col("middle").alias("m1")), ["block", "a"])
-    both = left.join(views.select("block", F.col("view").alias("b"), F.col("id").alias("v"), F.col("first").alias("f2"), F.col("middle").alias("m2")), ["block", "b"])
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    # two edits that keep all letters are one swap
-    slip = (F.col("d") <= 1) | (letters(F.col("a")) == letters(F.col("b")))
-    fits = (F.col("f1") == F.col("f2")) | ((F.col("d") == 1) & (F.length("f1") > 3) & (F.length("f2") > 3) & (F.expr("levenshtein(f1, f2, 1)") >= 0)) | ((F.length("f1") == 1) | (F.length("f2") == 1)) & F.col("block").startswith("Founder") & slip
-    middles = (F.col("m1") == "") | (F.col("m2") == "") | (F.substring("m1", 1, 1) == F.substring("m2", 1, 1))
-    typos = both.where("u <> v").where(fits & middles).select("u", "v")
-    return persons.unionByName(dropped).unionByName(initials).unionByName(equal).unionByName(typos)
+    size = texts.groupBy("block").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.max("c"), F.lit(0)).alias("most")).first()
+    if spare is None:
+        spare = 1 + sum(size["all"] > step for step in SPARE_STEPS)
+    rows = texts.select("block", F.col("text").alias("t"), "role", "up", F.length("text").alias("m")).where("m > 2")
+    index = _signatures(rows.where("role >= 2").select("block", "t", "m"), spare, F.col("m"), bounds, probing=False)
+    probe = rows.where("role in (1, 3)").select("block", "t", "up", F.explode(F.sequence(F.greatest(F.col("m") - 2, F.lit(3)), F.col("m") + 2 * F.col("up"))).alias("m"))
+    probe = probe.where(F.abs(F.length("t") - F.col("m")) <= _allowed(F.col("m"), bounds))
+    probe = _signatures(probe, spare, F.col("m"), bounds, probing=True)
+    key = F.xxhash64("block", "m", "i", "j", "sig").alias("key")
+    left = probe.select(key, "block", F.col("t").alias("a"), "up", "k")
+    right = index.select(key, "block", F.col("t").alias("b"))
+    # no key has more texts than its block
+    hits = (dealt_join(left, right, "key") if size["most"] > KEY_ROWS else left.join(right, ["key", "block"])).where(F.col("a") != F.col("b")).where((F.col("up") == 1) | (F.length("a") > F.length("b")) | (F.col("a") < F.col("b")))
+    hits = hits.withColumn("d", distance(F.col("a"), F.col("b"), F.col("k"))).where("d is not null")
+    return hits.select("block", "a", "b", "d").distinct()
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, rows: int = KEY_ROWS) -> DataFrame:
+    """An inner join on ``key`` and ``block``; the right rows of a key that has very many are dealt out over several tasks."""
+    many = durable(right.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > rows).select(key, F.ceil(F.col("c") / rows).cast("int").alias("parts")))
+    if many.isEmpty():
+        return left.join(right, [key, "block"])
+    left, right = (lookup(durable(side), many, key) for side in (left, right))
+    one = F.coalesce("parts", F.lit(1))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    return left.join(right.withColumn("part", F.pmod(F.xxhash64("b"), one).cast("int")).drop("parts"), [key, "block", "part"]).drop("part")
+
+
+def _fit(a: Column, b: Column) -> Column:
+    """Whether two middle names, or initials of some, can be one."""
+    return (a == "") | (b == "") | (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & ((F.length(a) == 1) | (F.length(b) == 1) | (F.levenshtein(a, b, 2) >= 0))
+
+
+def strict_links(views: DataFrame) -> DataFrame:
+    """``u, v`` of profiles that agree in all parts but for typos; ``views`` are ``id, middle, kind, block, text, role, up``.
+
+    Persons of one name are one, unless all of them have middle names and these don't fit.
+    """
+    whole = views.where("kind = 'V'")
+    own = whole.where("block like '1|%'")
+    heads = own.groupBy("label", "block", "text").agg(F.min("id").alias("head"), F.max((F.col("middle") == "").cast("int")).alias("open"))
+    mid = own.groupBy("label", "block", "text", F.substring("middle", 1, 1).alias("mi")).agg(F.min_by("id", F.struct(-F.length("middle"), "id")).alias("v"), F.min_by("middle", F.struct(-F.length("middle"), "id")).alias("mm"))
+    equal = own.withColumn("mi", F.substring("middle", 1, 1)).join(heads, ["label", "block", "text"]).join(mid, ["label", "block", "text", "mi"])
+    equal = equal.select(F.col("id").alias("u"), F.when(F.col("open") == 1, F.col("head")).when(_fit(F.col("middle"), F.col("mm")), F.col("v")).alias("v")).where("u <> v")
+    same = equal.unionByName(mid.join(heads, ["label", "block", "text"]).where("open = 1 and v <> head").select(F.col("v").alias("u"), F.col("head").alias("v")))
+    # block 3 belongs to the names that leave something out
+    blocked = whole.withColumn("block", F.concat_ws("#", "label", "block"))
+    texts = durable(blocked.groupBy("block", "text").agg(F.expr("bit_or(role)").alias("role"), F.max("up").alias("up")))
+    near = durable(segment_pairs(texts))
+    who = blocked.where("block not like '%#3|%'").groupBy("block", "text", F.substring("middle", 1, 1).alias("mi")).agg(F.min("id").alias("id"), F.min_by("middle", -F.length("middle")).alias("middle"))
+    who = durable(who)
+    a = near.join(who.select("block", F.col("text").alias("a"), F.col("id").alias("u"), F.col("middle").alias("m1")), ["block", "a"])
+    ab = a.join(who.select("block", F.col("text").alias("b"), F.col("id").alias("v"), F.col("middle").alias("m2")), ["block", "b"])
+    typos = ab.where(F.col("u") != F.col("v")).where(_fit(F.col("m1"), F.col("m2"))).select("u", "v")
+    return same.unionByName(typos), near.where("block like '%#3|%'")
+
+
+def attached(views: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame:
+    """``group, into``: groups that leave something out and the one group that answers to it.
+
+    Answers are sought under exactly what is stated and, where there is none, a typo beside it. Only the least and the
+    greatest group of an answer are kept, so a hot one is no hot task.
+    """
+    with_group = durable(views.where("kind in ('O', 'K')").join(groups, "id").select("label", "kind", F.concat_ws("#", "label", "block").alias("block"), "text", F.substring("middle", 1, 1).alias("mi"), "group"))
+    bounds = [F.min("group").alias("lo"), F.max("group").alias("hi")]
+    answers = durable(with_group.where("kind = 'K'").groupBy("block", "text", "mi").agg(*bounds))
+    opens = with_group.where("kind = 'O'").select("block", "text", "mi", "group").distinct()
+    fits = (F.col("mi") == "") | (F.col("m2") == "") | (F.col("mi") == F.col("m2"))
+    exact = opens.join(answers.withColumnRenamed("mi", "m2"), ["block", "text"]).where(fits).select("group", "lo", "hi", F.lit(0).alias("d"))
+    slips = near.where("d = 1").select("block", F.col("a").alias("text"), "b")
+    beside = opens.join(slips, ["block", "text"]).join(answers.select("block", F.col("text").alias("b"), F.col("mi").alias("m2"), "lo", "hi"), ["block", "b"]).where(fits).select("group", "lo", "hi", F.lit(1).alias("d"))
+    found = exact.unionByName(beside).where("lo <> group or hi <> group").groupBy("group", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = found.groupBy("group").agg(F.min_by(F.struct("lo", "hi"), "d").alias("c"))
+    return best.where("c.lo = c.hi").select("group", F.col("c.lo").alias("into"))
+
+
+def members(nodes: DataFrame) -> DataFrame:
+    """``node_id, group``: nodes of one entity have one group; a node with several readings may stand in several rows."""
+    nodes = durable(nodes.where("node_id is not null and label is not null and name is not null").select("node_id", "label", "name").distinct())
+    cols = ["label", "core", "beside", "first", "middle"]
+    read = durable(read_names(nodes))
+    profiles = durable(read.groupBy(*cols).agg(F.max("views").alias("views")).withColumn("id", F.monotonically_increasing_id()))
+    views = durable(profiles.select("id", "label", "beside", "middle", F.inline("views")))
+    strict, near = strict_links(views)
+    # all readings of a name are one entity
+    named = durable(read.select("name", *cols).join(profiles.select("id", *cols), cols).select(F.concat_ws("\n", "label", "name").alias("key"), "id"))
+    readings = named.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("u", "v")
+    roots = components(strict.unionByName(readings))
+    groups = durable(profiles.select("id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("group")))
+    into = durable(attached(views, groups, near))
+    # one that leaves out two things joins over one that leaves out one; two may answer to each other
+    then = into.select(F.col("group").alias("into"), F.col("into").alias("then"))
+    ends = into.join(then, "into", "left").select("group", F.when(F.col("then") == F.col("group"), F.least("group", "into")).otherwise(F.coalesce("then", "into")).alias("root"))
+    final = groups.join(ends, "group", "left").select("id", F.coalesce("root", "group").alias("group"))
+    by_name = durable(named.join(final, "id").groupBy("key").agg(F.min("group").alias("group")))
+    keyed = durable(nodes.select("node_id", F.concat_ws("\n", "label", "name").alias("key")))
+    # one name may be a third of all nodes
+    return durable(lookup(keyed, by_name, "key", "inner").select("node_id", "group").distinct())
+
+
+def class_rows(own: DataFrame) -> DataFrame:
+    """``node_id, class_id, links`` of the rows of ``members``."""
+    sizes = durable(own.groupBy("group").agg(F.min("node_id").alias("class_id"), F.count("*").alias("n")))
+    rows = lookup(own, sizes, "group", "inner").select("node_id", "class_id", (F.col("n") - 1).alias("links"))
+    return rows.groupBy("node_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+
+
+def pairs(own: DataFrame) -> DataFrame:
+    """``node_id1, node_id2`` of the rows of ``members``; each task pairs a part of a large group's nodes with all of them."""
+    sizes = durable(own.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.ceil(F.col("n") / PAIR_ROWS).cast("int").alias("parts")))
+    own = durable(lookup(own, sizes, "group", "inner"))
+    left = own.select("group", F.col("node_id").alias("node_id1"), F.pmod(F.xxhash64("node_id"), F.col("parts")).cast("int").alias("part"))
+    right = own.select("group", F.col("node_id").alias("node_id2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["group", "part"]).where("node_id1 < node_id2").select("node_id1", "node_id2").distinct()
+
+
+def classes(nodes: DataFrame) -> DataFrame:
+    """``node_id, class_id, links``: of each named node the smallest node of its entity and with how many others it is linked."""
+    return class_rows(members(nodes))
 
 
 def variants(nodes: DataFrame) -> DataFrame:
     """``node_id1, node_id2`` of all nodes that mean the same entity of one label, each pair once, smaller id first."""
-    nodes = durable(nodes.where("node_id is not null and label is not null and name is not null").select("node_id", "label", "name").distinct())
-    read = durable(read_names(nodes).withColumn("key", F.concat_ws("\n", "label", "name")))
-    keyed = durable(nodes.select("node_id", F.concat_ws("\n", "label", "name").alias("key")))
-    cols = ["label", "core", "beside", "first", "middle"]
-    longest = F.array(F.format_string("%09d", 999 - F.size("words")), F.concat_ws(" ", "words"))
-    # one name may be a third of all nodes
-    counts = lookup(keyed, read, "key", "inner").groupBy(*cols).agg(F.count_distinct("node_id").alias("n"), F.min_by("words", longest).alias("words"))
-    profiles = durable(counts.withColumn("id", F.monotonically_increasing_id()))
-    roots = components(profile_links(profiles))
-    named = read.join(profiles.select(*cols, "id"), cols).join(roots.withColumnRenamed("v", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("group")).distinct()
-    member = durable(lookup(keyed, durable(named), "key", "inner").select("node_id", "group").distinct())
-    a, b = member.select("group", F.col("node_id").alias("node_id1")), member.select("group", F.col("node_id").alias("node_id2"))
-    return a.join(b, "group").where("node_id1 < node_id2").select("node_id1", "node_id2").distinct()
+    return pairs(members(nodes))

@@ -46,6 +46,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variants(table(spark, d, "entity_name"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each node with the smallest node of its entity and the number of nodes it is linked with."""
+    return names.classes(table(spark, d, "entity_name"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -76,7 +81,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id").join(residue.residue(docs), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_survivors, p5_found, p7_ids, p7_decoded, p8_containers, p8_slack, p9_found, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_unmatched, p3_found, p3_pieces, p4_found, p4_survivors, p5_found, p5_classes, p7_ids, p7_decoded, p8_containers, p8_slack, p9_found, p9_clean)}
 
 # The stand-ins of the operator, as SQL lists and patterns.
 _STAND_INS = ", ".join(f"'{x}'" for x in survivorship.STAND_INS)

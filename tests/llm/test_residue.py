@@ -41,6 +41,37 @@ def test_tree_joins_what_differs_little():
     assert ids == [0, 0, 1] and tree.templates[0] == "the page * was not found".split()
 
 
+def test_templates_carry_the_verdict(spark, monkeypatch):
+    """A wording that no pattern knows is a message by its template; without the tree it isn't found."""
+    texts = ["Sadly the piece you look for at this link was not found", "Sadly the piece you look for at this link was not spotted", CONTENT]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r[0] for r in R.residue(df).collect()} == {0, 1}
+    monkeypatch.setattr(R, "SIMILARITY", 1.01)
+    monkeypatch.setattr(R, "MESSAGE_SIMILARITY", 1.01)
+    assert {r[0] for r in R.residue(df).collect()} == {0}
+
+
+def test_verdicts_do_not_depend_on_other_rows(spark):
+    texts = ["404", "Error 503", "100", "Error 12", "Please write to {{support_email}} for help.", "Our startup uses tags from {{company_name}}", "Ask {{" + "x" * 61 + "}} for it.", "Please " + "word of this and that " * 12 + "enable JavaScript to go on with it."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r[0] for r in R.residue(df).collect()} == {0, 1, 4, 5, 6, 7}
+
+
+def test_a_lone_content_sentence_is_content(spark):
+    df = spark.createDataFrame([(1, "The clinic of the town buys twelve of them each year for its wards. Its old page was not found.")], "doc_id long, text string")
+    assert R.residue(df).count() == 0
+
+
+def test_large_leaves_are_mined_in_parts(spark, monkeypatch):
+    rows = [(i, f"the page of shop {chr(97 + i)} was not found", 1, 1) for i in range(20)] + [(100 + i, f"the page of shop {chr(97 + i)} sells {chr(97 + i)} things", 1, 0) for i in range(20)]
+    masks = spark.createDataFrame(rows, "mask_id long, mask string, n long, verdict int")
+    whole = {r["mask_id"]: r["message"] for r in R.mine(masks).collect()}
+    monkeypatch.setattr(R, "LEAF_MASKS", 5)
+    parts = R.mine(masks).collect()
+    assert {r["mask_id"]: r["message"] for r in parts} == whole == {i: i < 100 for i, *_ in rows}
+    assert len({r["template"] for r in parts if r["message"]}) == 1
+
+
 def test_segments(spark):
     got = spark.createDataFrame([("One. Two!\r\nThree。Four",)], "t string").select(R.segments(F.col("t")).alias("s")).collect()[0]["s"]
     assert [x for x in got if x] == ["One.", "Two!", "Three。", "Four"]

@@ -1,53 +1,62 @@
 """Template residue and error-page text (problem 9).
 
-1. Texts are cut into lines and sentences in the JVM; numbers and, in longer ones, names are masked, and equal masks
-   are counted once.
-2. Message templates are mined from the masks by a prefix tree of fixed depth: number of tokens, then the first
-   tokens; in a leaf a mask joins the template it shares most tokens with, if enough, and its differing tokens become
-   wildcards.
-3. Each template is classified once: a message (error, refusal, not ready, gone, private, script or browser notice),
-   filler, a neutral line (heading, menu, reference number), or content.
-4. Verdicts go back to the documents. A template that occurs (nearly) only in documents with messages belongs to them,
-   as ``Check the spelling of the address``. A document with a message or filler and no content is residue.
+1. Texts are cut into lines and sentences in the JVM; numbers and names inside them are masked, but no status code and
+   no word that messages are made of, so what a mask says is what each of its segments says. Equal masks are counted once.
+2. Templates are mined from the masks by a prefix tree of fixed depth: number of tokens, then the first tokens; in a
+   leaf a mask joins the template it shares most tokens with, if enough, and its differing tokens become wildcards.
+   Masks that say a message by themselves come first; they start message templates, which others may join only where
+   they agree closely.
+3. Each template is classified once, and all its masks have its verdict: a message (error, refusal, not ready, gone,
+   private, script or browser notice) or filler if a message started it, else content. Headings, menus and reference
+   numbers are neutral.
+4. Verdicts go back to the documents. A content template found in several different texts, (nearly) all of which have
+   messages, belongs to them, as ``Check the spelling of the address``. One found in one text only tells nothing by
+   itself; it is content where such templates say more than the messages beside them. A document with a message or
+   filler and no content is residue.
 5. Apart from that, a document with an unresolved slot of a template language is residue, unless the slot stands in
-   code or in a sentence that is about such syntax.
+   code, in quotes, or as the thing that is written or typed (``write {{name}} in a cell``).
 
-Null, empty and blank texts are no residue. Texts are read whole.
+Null, empty and blank texts are no residue. Texts are read whole. A leaf of very many masks is mined in several parts,
+whose templates are then mined together.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import durable, lookup
+from ..runtime import discard, durable, lookup
 
 DEPTH, SIMILARITY = 3, 0.6
-#: A template is a companion of messages if so many of its documents have one.
-COMPANION_SHARE = 0.8
-SHORT = 60
-#: Distinct masks that one task mines; sets only the number of tasks.
+#: Tokens that a mask must share with a message template which it doesn't say by itself.
+MESSAGE_SIMILARITY = 0.75
+#: A template is a companion of messages if so many of its texts have one, and at least so many.
+COMPANION_SHARE, COMPANION_TEXTS = 0.8, 2
+#: A word is one of filler if so many masks of filler have it, and such a share of all its masks; filler has such a share of them.
+FILLER_MASKS, FILLER_SHARE, FILLER_WORDS = 3, 0.5, 0.6
+#: Distinct masks that one task mines.
 LEAF_MASKS = 20_000
 
 # The marks of template languages, as regular expressions that Java and Python read alike.
-_word = r"[\p{L}\p{N}_][\p{L}\p{N}_ .:'-]{0,48}"
 SLOTS = [
-    r"\{\{\{?[^{}\n]{1,60}\}?\}\}", r"\$\{[^{}\n]{1,60}\}", r"#\{[^{}\n]{1,60}\}", r"\{%[^%\n]{1,60}%\}", r"<%[^%\n]{1,60}%>", r"<<[^<>\n]{1,60}>>", r"\[\[[^\[\]\n]{1,60}\]\]",
-    r"%\([^()\n]{1,40}\)[sdif]", r"%[A-Z\p{Lu}][\p{Lu}_]{1,40}%", r"\$[\p{Lu}][\p{Lu}_]{1,40}\$", r"__[\p{Lu}\p{Lo}][\p{Lu}\p{Lo}_]{0,40}__", r"##[\p{L}][\p{L}_ ]{0,40}##", r"@@[\p{L}][\p{L}_ ]{0,40}@@", r"\*\|[^|\n]{1,40}\|\*",
-    r"XXX [^\n]{1,30}? XXX", r"&lt;[\p{L}][\p{L}_ ]{0,40}&gt;", r"(?<![\p{L}])YOUR_[^ \n]{1,40}_HERE",
-    r"\{[\p{L}\p{N}_][\p{L}\p{N}_.-]{0,40}\}", r"«[\p{L}][\p{L}\p{N}_]{0,40}»",
-    r"\[(?:insert|add|your|enter|put|write|choose|select|fill in)\s[^\[\]\n]{1,50}\]", r"\[[^\[\]\n]{1,40}(?:goes here| here)\]", r"\[\p{Lu}[\p{Lu}_]+(?: [\p{Lu}_]+){0,4}\]", r"\[\p{Lo}{1,20}\]",
-    r"<(?:insert|add|your|enter|put|write|choose|select) [^<>\n]{1,50}>", r"<\p{Lu}[\p{Lu}_]+(?: [\p{Lu}_]+){0,4}>", r"<\p{Lo}{1,20}>",
-    r"\((?:insert|add your|enter|put your) [^()\n]{1,50}\)",
+    r"\{\{\{?[^{}\n]+\}?\}\}", r"\$\{[^{}\n]+\}", r"#\{[^{}\n]+\}", r"\{%[^%\n]+%\}", r"<%[^%\n]+%>", r"<<[^<>\n]+>>", r"\[\[[^\[\]\n]+\]\]",
+    r"%\([^()\n]+\)[sdif]", r"%[A-Z\p{Lu}][\p{Lu}_]+%", r"\$[\p{Lu}][\p{Lu}_]+\$", r"__[\p{Lu}\p{Lo}][\p{Lu}\p{Lo}_]*__", r"##[\p{L}][\p{L}_ ]*##", r"@@[\p{L}][\p{L}_ ]*@@", r"\*\|[^|\n]+\|\*",
+    r"XXX [^\n]+? XXX", r"&lt;[\p{L}][\p{L}_ ]*&gt;", r"(?<![\p{L}])YOUR_[^ \n]+_HERE",
+    r"\{[\p{L}\p{N}_][\p{L}\p{N}_.-]*\}", r"«[\p{L}][\p{L}\p{N}_]*»",
+    r"\[(?:insert|add|your|enter|put|write|choose|select|fill in)\s[^\[\]\n]+\]", r"\[[^\[\]\n]+(?:goes here| here)\]", r"\[\p{Lu}[\p{Lu}_]+(?: [\p{Lu}_]+){0,4}\]", r"\[\p{Lo}+\]",
+    r"<(?:insert|add|your|enter|put|write|choose|select) [^<>\n]+>", r"<\p{Lu}[\p{Lu}_]+(?: [\p{Lu}_]+){0,4}>", r"<\p{Lo}+>",
+    r"\((?:insert|add your|enter|put your) [^()\n]+\)",
 ]
 SLOT = "|".join(SLOTS)
 #: Marks one of which every slot has, quick to look for.
 SLOT_HINT = r"(?=[{<\[«@#_*X&Y%$(])(?:[{<«]|\[(?!\d{1,4}\])|@@|##|__|\*\||XXX |&lt;|YOUR_|%[\p{Lu}(]|\$\p{Lu}|\((?:insert|add|enter|put) )"
-ABOUT_SYNTAX = r"(?i)`|\b(?:write|type|syntax|brackets?|braces|placeholders?|templates?|variables?|markup|quoted as|notation|tags?|macros?|escap(?:e|ed|ing)|schreib\w*|escrib\w*|écri\w*|escrev\w*)\b"
+_said = r"(?i:write|type|quoted as|written as|spelled|syntax|placeholders?|variables?|tags?|macros?|markup|notation|schreib\w*|escrib\w*|écri\w*|escrev\w*)"
+#: Slots that are spoken about: directly behind a word for writing them, in quotes, or said to be written.
+MENTION = rf"\b{_said}\s*[:=]?\s*(?:{SLOT})|[\"“‘']\s*(?:{SLOT})\s*[\"”’']|(?:{SLOT})\s+(?:is|are|was|were) (?:written|quoted|typed|spelled|expanded|replaced)\b"
 CODE = r"(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)|`[^`\n]*`"
 LINE_MARKS = "。！？"
 # both begin with a look at one class of characters, which fails fast almost everywhere
@@ -98,7 +107,7 @@ TRAIL = re.compile(r"^[\W\d_]*$|^(?:ref|incident|request id|id|case|trace|code|e
 
 
 def classify(segment: str) -> str:
-    """``message``, ``neutral`` or ``content``: what one line or sentence is, by itself."""
+    """``message``, ``filler``, ``neutral`` or ``content``: what one line or sentence is, by itself."""
     s = segment.strip()
     words = WORDS.findall(s.lower())
     if not words or TRAIL.match(s):
@@ -106,41 +115,57 @@ def classify(segment: str) -> str:
     if len(words) >= 6 and len(set(words)) <= min(4, max(2, len(words) // 12)):
         return "message"
     low = s.lower()
-    if FIELD.match(s) or len(words) <= 45 and any(h in low for h in HINTS) and MESSAGES.search(s):
+    if FIELD.match(s) or any(h in low for h in HINTS) and MESSAGES.search(s):
         return "message"
     latin = sum(w in LATIN for w in words)
     if latin >= 2 and latin >= 0.2 * len(words) and len({w for w in words if w in LATIN}) >= 2:
-        return "message"
+        return "filler"
     ends = s[-1] in ".!?。！？"
     # a heading, a menu, a byline
     return "neutral" if len(words) <= 7 and not ends and len(s) <= 70 and not re.search(r"[ぁ-んァ-ン]", s) else "content"
 
 
-NUMBERS = r"\d[\d.,]*%?|[0-9a-f]{8}"
-NAMES = r"\p{Lu}[\p{L}'’-]*(?:[ &]+\p{Lu}[\p{L}'’-]*)*"
+# How words begin that messages are made of; such words are never masked.
+TELLING = (
+    "(?i:page|seite|p.gina|site|website|not|found|no|error|fehler|err|java|js|script|skript|brows|naveg|navig|cookie|access|acc.s|denied|forbidden|gateway|time|server|service|unavail|mainten|manten|wartung|zugriff|log|sign|please|bitte|enable|activ|aktiv|disab|loading|try|retry|"
+    "under|construction|coming|soon|lorem|ipsum|text|your|private|privat|account|blocked|captcha|robot|human|closed|content|http|null|exception|request|connect|warning|fatal|sitzung|session|sesi.n|berechtig|inhalt|blind|platz|titel|title|headline|oops|sorry|unauthor|upgrade|update|ddos|ray id|domain|profil|perfil|subscri|members|admin)"
+)
+_name = rf"(?!{TELLING})\p{{Lu}}[\p{{L}}'’-]*"
+MASKED = rf"(?<![\p{{L}}\d])(?![45]\d\d(?![\d.,]*\d))(?:\d[\d.,]*%?|[0-9a-f]{{8}})|(?<=[\p{{L}},;:] ){_name}(?:[ &]+{_name})*|^{_name}(?: {_name})+"
 
 
 def mask(c: Column) -> Column:
-    """A segment with numbers and reference codes masked, and in longer ones names too."""
-    plain = F.regexp_replace(c, NUMBERS, "*")
-    return F.when(F.length(c) <= SHORT, plain).otherwise(F.regexp_replace(c, f"{NUMBERS}|{NAMES}", "*"))
+    """A segment with numbers other than status codes, reference codes and names masked."""
+    return F.regexp_replace(c, MASKED, "*")
 
 
 class Tree:
-    """The templates of one leaf of the prefix tree."""
+    """The templates of one leaf of the prefix tree; those of messages and others."""
 
     def __init__(self):
         self.templates: list[list[str]] = []
+        self.message: list[bool] = []
+        self.at: dict[tuple[int, str], list[int]] = {}
+
+    def add(self, tokens: list[str], message: bool = False) -> int:
+        """The number of the template a mask belongs to, which takes on its differences as wildcards.
 
-    def add(self, tokens: list[str]) -> int:
-        """The number of the template a mask belongs to, which takes on its differences as wildcards."""
-        best, most = -1, SIMILARITY
-        for i, t in enumerate(self.templates):
-            same = sum(a == b for a, b in zip(t, tokens)) / max(1, len(tokens))
-            if same >= most and (same > most or best < 0):
+        Sharing so many tokens, mask and template share one of the first places; only such templates are compared.
+        """
+        n = len(tokens)
+        best, most = -1, 0.0
+        places = n - math.ceil(SIMILARITY * n - 1e-9) + 1
+        for i in sorted({i for p in range(min(places, n)) for i in self.at.get((p, tokens[p]), ())}):
+            if message and not self.message[i]:
+                continue
+            same = sum(a == b for a, b in zip(self.templates[i], tokens)) / n
+            if same >= (SIMILARITY if message or not self.message[i] else MESSAGE_SIMILARITY) and same > most:
                 best, most = i, same
         if best < 0:
             self.templates.append(list(tokens))
+            self.message.append(message)
+            for p in range(min(places, n)):
+                self.at.setdefault((p, tokens[p]), []).append(len(self.templates) - 1)
             return len(self.templates) - 1
         t = self.templates[best]
         for i, (a, b) in enumerate(zip(t, tokens)):
@@ -156,63 +181,101 @@ def segments(text: Column) -> Column:
     return F.split(text, CUT)
 
 
+def _mine(rows: DataFrame, tasks: int) -> DataFrame:
+    """``mask_id, leaf, template, tokens, message`` of ``mask_id, mask, n, verdict, leaf, salt``; each leaf and salt whole in a task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        trees: dict[tuple[int, int], Tree] = {}
+        pdf = pdf.sort_values(["verdict", "n", "mask"], ascending=[False, False, True], ignore_index=True)
+        out = []
+        for leaf, salt, mask_id, m, verdict in zip(pdf["leaf"].tolist(), pdf["salt"].tolist(), pdf["mask_id"].tolist(), pdf["mask"].tolist(), pdf["verdict"].tolist()):
+            tree = trees.setdefault((leaf, salt), Tree())
+            out.append((mask_id, leaf, salt, tree.add(m.split(), bool(verdict))))
+        found = [trees[leaf, salt] for _, leaf, salt, _ in out]
+        keys = [f"{leaf}.{salt}.{i}" for _, leaf, salt, i in out]
+        return pd.DataFrame({"mask_id": [r[0] for r in out], "leaf": [r[1] for r in out], "template": keys, "mask": [" ".join(t.templates[r[3]]) for t, r in zip(found, out)], "message": [t.message[r[3]] for t, r in zip(found, out)], "size": pdf["mask"].str.len()})
+
+    part = F.pmod(F.xxhash64("leaf", "salt"), F.lit(tasks)).cast("int")
+    return rows.withColumn("part", part).groupBy("part").applyInPandas(run, "mask_id long, leaf long, template string, mask string, message boolean, size int")
+
+
 def mine(masks: DataFrame) -> DataFrame:
-    """``mask_id, template, class`` of distinct masks (``mask_id, mask, example, n``).
+    """``mask_id, template, message, size`` (in characters) of distinct masks (``mask_id, mask, n, verdict``; a verdict of 1 is a message).
 
-    A task gets many leaves, each whole. Masks of a leaf are taken from the most frequent down. A template has the
-    class of most of its masks' rows.
+    A template is a message if one started it.
     """
     tokens = F.split(F.trim("mask"), r"\s+")
-    leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
-    spread = max(masks.sparkSession.sparkContext.defaultParallelism, -(-masks.count() // LEAF_MASKS))
+    rows = durable(masks.withColumn("leaf", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))).withColumn("salt", F.lit(0)))
+    tasks = max(masks.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // LEAF_MASKS))
+    large = durable(rows.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > LEAF_MASKS).select("leaf", F.ceil(F.col("c") / LEAF_MASKS).alias("parts")))
+    if large.isEmpty():
+        return _mine(rows, tasks).select("mask_id", "template", "message", "size")
+    salted = lookup(rows.drop("salt"), large, "leaf").withColumn("salt", F.pmod(F.xxhash64("mask_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    first = durable(_mine(salted, tasks))
+    parts = first.groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("mask").alias("mask"), F.count("*").alias("n"), F.max("message").cast("int").alias("verdict"), F.lit(0).alias("salt"))
+    parts = durable(parts.withColumn("mask_id", F.monotonically_increasing_id()))
+    second = _mine(parts, tasks).select("mask_id", F.col("template").alias("whole"), F.col("message").alias("whole_message"))
+    second = parts.select("mask_id", F.col("template").alias("part_template")).join(second, "mask_id").drop("mask_id")
+    merged = lookup(first.withColumnRenamed("template", "part_template"), durable(second), "part_template", "inner")
+    return merged.select("mask_id", F.col("whole").alias("template"), F.col("whole_message").alias("message"), "size")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        trees: dict[int, Tree] = {}
-        votes: dict[tuple[int, int], Counter] = {}
-        rows = []
-        pdf = pdf.sort_values(["n", "mask"], ascending=[False, True], ignore_index=True)
-        for key, mask_id, m, example, n in zip(pdf["leaf"].tolist(), pdf["mask_id"].tolist(), pdf["mask"].tolist(), pdf["example"].tolist(), pdf["n"].tolist()):
-            tree = trees.get(key)
-            if tree is None:
-                tree = trees[key] = Tree()
-            words = m.split()
-            i = tree.add(words)
-            verdict = classify(example)
-            votes.setdefault((key, i), Counter())[verdict] += n
-            rows.append((mask_id, key, i, verdict, len(words)))
-        top = {k: v.most_common(1)[0][0] for k, v in votes.items()}
-        # one mask may differ from its template where a wildcard took the telling word
-        kinds = [v if v == "message" or top[key, i] == "message" and size > 3 else top[key, i] for _, key, i, v, size in rows]
-        return pd.DataFrame({"mask_id": [r[0] for r in rows], "template": [r[1] ^ r[2] for r in rows], "class": kinds})
-
-    return masks.withColumn("leaf", leaf).withColumn("part", F.pmod("leaf", F.lit(spread)).cast("int")).groupBy("part").applyInPandas(run, "mask_id long, template long, class string")
+
+def filled(said: DataFrame) -> DataFrame:
+    """``mask_id`` of the content masks made of words that filler is made of; ``said`` has ``mask_id, mask, verdict``.
+
+    Words are told by the masks known for filler (a verdict of 2) among all that have the word.
+    """
+    words = said.where("verdict <> 1").select("mask_id", "verdict", F.array_distinct(F.split(F.lower("mask"), r"[^\p{L}\p{N}]+")).alias("ws"))
+    words = words.select("mask_id", "verdict", F.filter("ws", lambda w: w != "").alias("ws"))
+    each = words.select("mask_id", "verdict", F.size("ws").alias("size"), F.explode("ws").alias("w"))
+    each = each.join(each.where("verdict = 2").select("w").distinct(), "w")
+    counts = each.groupBy("w").agg(F.sum((F.col("verdict") == 2).cast("long")).alias("f"), F.count("*").alias("all"))
+    vocabulary = durable(counts.where((F.col("f") >= FILLER_MASKS) & (F.col("f") >= FILLER_SHARE * F.col("all"))).select("w"))
+    hits = each.where("verdict = 0 and size > 2").join(vocabulary, "w").groupBy("mask_id", "size").agg(F.count("*").alias("hits"))
+    return hits.where(F.col("hits") >= FILLER_WORDS * F.col("size")).select("mask_id")
 
 
 def unresolved(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Ids of the documents with an unresolved slot outside code and outside sentences about such syntax."""
+    """Ids of the documents with an unresolved slot outside code that isn't merely spoken about."""
     bare = F.regexp_replace(F.col(text_col), CODE, " code ")
     hinted = docs.where(F.col(text_col).rlike(SLOT_HINT)).select(id_col, F.explode(segments(bare)).alias("s"))
-    return hinted.where(F.col("s").rlike(SLOT_HINT)).where(F.col("s").rlike(SLOT) & ~F.col("s").rlike(ABOUT_SYNTAX)).select(id_col).distinct()
+    return hinted.where(F.col("s").rlike(SLOT_HINT)).where(F.regexp_replace("s", MENTION, " ").rlike(SLOT)).select(id_col).distinct()
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of the documents that are residue, once each. Other columns are ignored; null ids are left out."""
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    segment = F.explode(segments(F.col("t"))).alias("s")
-    # what is left of invisible characters has no word and so is neutral
-    rows = docs.select("d", segment).where(F.trim("s") != "")
-    rows = rows.select("d", "s", mask(F.col("s")).alias("mask"))
-    rows = durable(rows.select("d", F.xxhash64("mask").alias("mask_id"), "mask", "s"))
-    masks = rows.groupBy("mask_id").agg(F.min("mask").alias("mask"), F.min("s").alias("example"), F.count("*").alias("n"))
-    known = durable(mine(masks))
-    parts = durable(rows.select("d", "mask_id").distinct())
-    marked = durable(lookup(parts, known, "mask_id", "inner").select("d", "template", "class"))
-    suspects = marked.where("class = 'message'").select("d").distinct()
+    # repeated texts count once; what is left of invisible characters has no word and so is neutral
+    rows = docs.select("d", F.xxhash64("t").alias("text_id"), F.explode(segments(F.col("t"))).alias("s")).where(F.trim("s") != "")
+    rows = rows.select("d", "text_id", F.trim(mask(F.col("s"))).alias("mask")).where("mask <> ''")
+    seed = 0
+    while True:
+        coded = durable(rows.select("d", "text_id", F.xxhash64(F.lit(seed), "mask").alias("mask_id"), "mask"))
+        masks = durable(coded.groupBy("mask_id").agg(F.min("mask").alias("mask"), F.max("mask").alias("other"), F.count("*").alias("n")))
+        if masks.where("mask <> other").isEmpty():
+            break
+        discard(coded)  # two masks with one hash: take another seed
+        seed += 1
+
+    def judge(batches):
+        for pdf in batches:
+            verdicts = {"filler": 2, "message": 1, "content": 0, "neutral": -1}
+            yield pdf.assign(verdict=[verdicts[classify(m)] for m in pdf["mask"]])
+
+    spread = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    said = durable(masks.drop("other").repartition(spread).mapInPandas(judge, "mask_id long, mask string, n long, verdict int").where("verdict >= 0"))
+    filler = filled(said)
+    said = said.join(filler.withColumn("filler", F.lit(1)), "mask_id", "left").select("mask_id", "mask", "n", F.greatest(F.least("verdict", F.lit(1)), F.coalesce("filler", F.lit(0))).alias("verdict"))
+    known = durable(mine(said))
+    marked = durable(lookup(coded.select("d", "text_id", "mask_id").distinct(), known, "mask_id", "inner").select("d", "text_id", "template", "message", "size"))
+    suspects = durable(marked.where("message").groupBy("d").agg(F.sum("size").alias("said")))
     # only what stands in suspect documents can be a companion
-    beside = durable(marked.join(suspects.withColumn("suspect", F.lit(1)), "d", "left"))
-    share = beside.where("class = 'content'").groupBy("template").agg(F.count_distinct("d").alias("n"), F.count_distinct(F.when(F.col("suspect") == 1, F.col("d"))).alias("with_message"))
-    foreign = share.where((F.col("with_message") > 0) & (F.col("with_message") < COMPANION_SHARE * F.col("n"))).select("template")
-    content = beside.where("class = 'content' and suspect = 1").join(foreign, "template", "left_semi").select("d").distinct()
-    whole = suspects.join(content, "d", "left_anti")
+    beside = durable(marked.where("not message").join(suspects.select("d", "said"), "d", "left"))
+    share = beside.groupBy("template").agg(F.count_distinct("text_id").alias("n"), F.count_distinct(F.when(F.col("said").isNotNull(), F.col("text_id"))).alias("with_message"))
+    lone = F.col("n") < COMPANION_TEXTS
+    other = share.where("with_message > 0").where(lone | (F.col("with_message") < COMPANION_SHARE * F.col("n"))).select("template", lone.alias("lone"))
+    content = beside.where("said is not null").join(other, "template").groupBy("d", "said").agg(F.min("lone").alias("lone"), F.sum("size").alias("size"))
+    content = content.where("not lone or size > said").select("d")
+    whole = suspects.select("d").join(content, "d", "left_anti")
     slots = unresolved(docs, "d", "t")
     return whole.unionByName(slots).distinct().select(F.col("d").alias(id_col))

@@ -142,7 +142,8 @@ def mask(c: Column) -> Column:
 class Tree:
     """The templates of one leaf of the prefix tree; those of messages and others."""
 
-    def __init__(self):
+    def __init__(self, similarity: float = SIMILARITY, message_similarity: float = MESSAGE_SIMILARITY):
+        self.similarity, self.message_similarity = similarity, message_similarity
         self.templates: list[list[str]] = []
         self.message: list[bool] = []
         self.at: dict[tuple[int, str], list[int]] = {}
@@ -154,12 +155,12 @@ class Tree:
         """
         n = len(tokens)
         best, most = -1, 0.0
-        places = n - math.ceil(SIMILARITY * n - 1e-9) + 1
+        places = n - math.ceil(self.similarity * n - 1e-9) + 1
         for i in sorted({i for p in range(min(places, n)) for i in self.at.get((p, tokens[p]), ())}):
             if message and not self.message[i]:
                 continue
             same = sum(a == b for a, b in zip(self.templates[i], tokens)) / n
-            if same >= (SIMILARITY if message or not self.message[i] else MESSAGE_SIMILARITY) and same > most:
+            if same >= (self.similarity if message or not self.message[i] else self.message_similarity) and same > most:
                 best, most = i, same
         if best < 0:
             self.templates.append(list(tokens))
@@ -183,13 +184,14 @@ def segments(text: Column) -> Column:
 
 def _mine(rows: DataFrame, tasks: int) -> DataFrame:
     """``mask_id, leaf, template, tokens, message`` of ``mask_id, mask, n, verdict, leaf, salt``; each leaf and salt whole in a task."""
+    bounds = SIMILARITY, MESSAGE_SIMILARITY
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         trees: dict[tuple[int, int], Tree] = {}
         pdf = pdf.sort_values(["verdict", "n", "mask"], ascending=[False, False, True], ignore_index=True)
         out = []
         for leaf, salt, mask_id, m, verdict in zip(pdf["leaf"].tolist(), pdf["salt"].tolist(), pdf["mask_id"].tolist(), pdf["mask"].tolist(), pdf["verdict"].tolist()):
-            tree = trees.setdefault((leaf, salt), Tree())
+            tree = trees.setdefault((leaf, salt), Tree(*bounds))
             out.append((mask_id, leaf, salt, tree.add(m.split(), bool(verdict))))
         found = [trees[leaf, salt] for _, leaf, salt, _ in out]
         keys = [f"{leaf}.{salt}.{i}" for _, leaf, salt, i in out]

@@ -125,13 +125,15 @@ def classify(segment: str) -> str:
     return "neutral" if len(words) <= 7 and not ends and len(s) <= 70 and not re.search(r"[ぁ-んァ-ン]", s) else "content"
 
 
-# How words begin that messages are made of; such words are never masked.
+# How capitalised words begin that messages are made of; such words are never masked.
 TELLING = (
-    "(?i:page|seite|p.gina|site|website|not|found|no|error|fehler|err|java|js|script|skript|brows|naveg|navig|cookie|access|acc.s|denied|forbidden|gateway|time|server|service|unavail|mainten|manten|wartung|zugriff|log|sign|please|bitte|enable|activ|aktiv|disab|loading|try|retry|"
-    "under|construction|coming|soon|lorem|ipsum|text|your|private|privat|account|blocked|captcha|robot|human|closed|content|http|null|exception|request|connect|warning|fatal|sitzung|session|sesi.n|berechtig|inhalt|blind|platz|titel|title|headline|oops|sorry|unauthor|upgrade|update|ddos|ray id|domain|profil|perfil|subscri|members|admin)"
-)
-_name = rf"(?!{TELLING})\p{{Lu}}[\p{{L}}'’-]*"
-MASKED = rf"(?<![\p{{L}}\d])(?![45]\d\d(?![\d.,]*\d))(?:\d[\d.,]*%?|[0-9a-f]{{8}})|(?<=[\p{{L}},;:] ){_name}(?:[ &]+{_name})*|^{_name}(?: {_name})+"
+    "Page Seite Página Pagina Site Website Not Found No Error Fehler Err Java Script Skript Brows Naveg Navig Cookie Access Acces Acceso Accès Denied Forbidden Gateway Time Server Service Unavail Mainten Manten Wartung Zugriff Log Sign Please Bitte Enable Activ Aktiv Disab "
+    "Loading Try Retry Under Construction Coming Soon Lorem Ipsum Text Your Private Privat Account Blocked Captcha Robot Human Closed Content Http Null Exception Request Connect Warning Fatal Sitzung Session Sesi Berechtig Inhalt Blind Platz Titel Title Headline Oops Sorry "
+    "Unauthor Upgrade Update Ray Domain Profil Perfil Subscri Members Admin"
+).split()
+_telling = "|".join(f"{c}(?:{'|'.join(sorted(w[1:] for w in TELLING if w[0] == c))})" for c in sorted({w[0] for w in TELLING}))
+_name = rf"(?!{_telling})\p{{Lu}}[\p{{Ll}}'’][\p{{L}}'’-]*"
+MASKED = rf"(?<![\p{{L}}\p{{N}}])(?:(?![45]\d\d(?![\d.,]*\d))\d[\d.,]*%?|[0-9a-f]{{8}}|(?<=[\p{{Ll}},;:] ){_name}(?:[ &]+{_name})*|^{_name}(?: {_name})+)"
 
 
 def mask(c: Column) -> Column:
@@ -248,7 +250,7 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The ids of the documents that are residue, once each. Other columns are ignored; null ids are left out."""
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     # repeated texts count once; what is left of invisible characters has no word and so is neutral
-    rows = docs.select("d", F.xxhash64("t").alias("text_id"), F.explode(segments(F.col("t"))).alias("s")).where(F.trim("s") != "")
+    rows = docs.select("d", F.xxhash64("t").alias("text_id"), segments(F.col("t")).alias("s")).select("d", "text_id", F.explode("s").alias("s")).where(F.trim("s") != "")
     rows = rows.select("d", "text_id", F.trim(mask(F.col("s"))).alias("mask")).where("mask <> ''")
     seed = 0
     while True:

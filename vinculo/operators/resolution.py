@@ -101,7 +101,8 @@ def candidate_pairs(names: DataFrame, above: float) -> DataFrame:
     spelled = distinct.select("name", "low", "n", F.explode(numbered).alias("t"))
     # no more different letters than alphabets have, times how often one repeats
     rarity = spelled.groupBy("t").agg(F.count("*").alias("c"))
-    bits = F.expr("bit_xor(shiftleft(1L, cast(pmod(xxhash64(t), 64) as int)))")
+    # of 256 places for letters, few share one; what shares one only makes names look nearer
+    bits = F.array(*[F.expr(f"bit_xor(if(cast(pmod(xxhash64(t), 256) / 64 as int) = {i}, shiftleft(1L, cast(pmod(xxhash64(t), 64) as int)), 0L))") for i in range(4)])
     ordered = spelled.join(rarity, "t").groupBy("name", "low", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("ts"), bits.alias("bits"))
     lengths = distinct.select(F.col("n").alias("m")).distinct()
     levels = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(ask).alias("ask")) for p, ask in enumerate(asked)])).alias("level")
@@ -112,7 +113,7 @@ def candidate_pairs(names: DataFrame, above: float) -> DataFrame:
     probes = ordered.join(F.broadcast(wanted), "n").select("name", "bits", "n", "m", "p", "apart", F.expr("substring(low, 1, p)").alias("start"), F.explode(F.slice("ts", 1, F.greatest(F.col("first"), F.lit(0)))).alias("t"))
     left = probes.select(F.col("name").alias("name1"), F.col("bits").alias("bits1"), "n", "m", "p", "apart", "start", "t")
     right = probes.select(F.col("name").alias("name2"), F.col("bits").alias("bits2"), F.col("m").alias("n"), F.col("n").alias("m"), "p", "start", "t")
-    hits = left.join(right, ["t", "n", "m", "p", "start"]).where("name1 < name2 and bit_count(bits1 ^ bits2) <= apart")
+    hits = left.join(right, ["t", "n", "m", "p", "start"]).where("name1 < name2").where(" + ".join(f"bit_count(bits1[{i}] ^ bits2[{i}])" for i in range(4)) + " <= apart")
     return hits.select("name1", "name2").distinct()
 
 

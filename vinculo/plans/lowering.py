@@ -466,8 +466,19 @@ class Lowering:
             return F.sort_array((F.collect_set if x.distinct else F.collect_list)(args[0]))
         if name in ("sum", "avg", "min", "max"):
             if x.distinct and name in ("sum", "avg"):
-                return F.sum_distinct(args[0]) if name == "sum" else F.expr("avg")(args[0])
+                # one spelling of distinct aggregates that Catalyst knows for both
+                return F.coalesce(F.sum_distinct(args[0]), F.lit(0)) if name == "sum" else F.sum_distinct(args[0]) / F.count_distinct(args[0])
             return {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "avg": F.avg, "min": F.min, "max": F.max}[name](args[0])
+        if name in ("percentilecont", "percentiledisc", "median"):
+            share = args[1] if len(args) == 2 else F.lit(0.5)
+            if len(args) != (1 if name == "median" else 2):
+                raise QueryError(f"{name} takes {1 if name == 'median' else 2} arguments")
+            if x.distinct:
+                raise QueryError(f"{name} takes no DISTINCT")
+            if name == "percentiledisc":
+                # a value that occurs; at this accuracy the summary is exact
+                return F.percentile_approx(args[0], share, 2_000_000_000)
+            return F.percentile(args[0], share)
         if name in ("labels", "type", "properties", "id", "elementid"):
             return self._about(name, x.args[0])
         simple = {

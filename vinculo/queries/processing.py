@@ -245,6 +245,11 @@ m AS (SELECT DISTINCT g.name AS company, c.label, c.name FROM good g JOIN catego
 l AS (SELECT DISTINCT g.name AS company, CASE WHEN coalesce(trim(h.city, ' '), '') = '' THEN 'Unknown' ELSE h.city END AS city, h.country FROM good g JOIN hq_location h ON h.company_id = g.company_id WHERE trim(h.country, ' ') <> ''),
 b AS (SELECT DISTINCT name AS company, yc_batch FROM good WHERE trim(yc_batch) <> '')
 """
+# DuckDB's similarity compares bytes: the letters beyond ASCII, fewer than the control characters, are written as those
+_SIMILAR = """chars AS (SELECT list(DISTINCT c ORDER BY c) AS cs FROM (SELECT unnest(string_split(lower(name), '')) AS c FROM entity_name) WHERE ord(c) > 127),
+n AS (SELECT DISTINCT label, name, list_aggregate(list_transform(string_split(lower(name), ''), lambda c: CASE WHEN ord(c) < 128 THEN c ELSE chr(CAST(CASE WHEN list_position(cs, c) < 32 THEN list_position(cs, c) ELSE list_position(cs, c) + 33 END AS INTEGER)) END), 'string_agg', '') AS low
+  FROM entity_name, chars WHERE name IS NOT NULL),
+p AS (SELECT a.label, a.name AS n1, b.name AS n2, jaro_winkler_similarity(a.low, b.low) AS s FROM n a JOIN n b ON a.label = b.label AND a.name < b.name)"""
 SQL = {
     "load_histogram": _DOCS + """SELECT 'Company' AS type, count(DISTINCT name) AS count FROM good UNION ALL SELECT 'Industry', count(DISTINCT name) FROM m WHERE label = 'Industry' UNION ALL SELECT 'Technology', count(DISTINCT name) FROM m WHERE label = 'Technology'
       UNION ALL SELECT 'Location', count(*) FROM (SELECT DISTINCT city, country FROM l) UNION ALL SELECT 'Batch', count(DISTINCT yc_batch) FROM b""",
@@ -264,6 +269,14 @@ SQL = {
       FROM documents JOIN (SELECT company_id, min(name) AS name FROM company_record WHERE name IS NOT NULL GROUP BY company_id) USING (company_id) GROUP BY lang""",
     "fuzzy_names": """SELECT a.n AS name1, b.n AS name2, round(jaro_winkler_similarity(lower(a.n), lower(b.n)), 6) AS similarity FROM (SELECT DISTINCT p_name AS n FROM part) a JOIN (SELECT DISTINCT p_name AS n FROM part) b ON a.n < b.n
       WHERE jaro_winkler_similarity(lower(a.n), lower(b.n)) > 0.85""",
+    "fuzzy_report": f"""WITH {_SIMILAR}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, n1, n2) AS k FROM p WHERE s > 0.85)
+      SELECT label, printf('%.2f | %s ↔ %s', s, n1, n2) AS line FROM r WHERE k <= 50""",
+    "merge_similar_names": f"""WITH RECURSIVE {_SIMILAR}, links AS (SELECT label, n1 AS a, n2 AS b FROM p WHERE s > 0.92 UNION SELECT label, n2, n1 FROM p WHERE s > 0.92),
+groups(label, name, g) USING KEY (label, name) AS (
+  SELECT label, name, name FROM n
+  UNION
+  SELECT g.label, l.b, min(g.g) FROM groups g JOIN links l ON l.label = g.label AND l.a = g.name JOIN recurring.groups r ON r.label = l.label AND r.name = l.b WHERE g.g < r.g GROUP BY g.label, l.b)
+SELECT label, count(DISTINCT g) AS n FROM groups WHERE label IN ('Investor', 'Founder') GROUP BY label""",
     "alias_resolution": """SELECT s_name AS name, count(DISTINCT dst) AS n FROM (SELECT CASE WHEN l_suppkey BETWEEN 2 AND 20 AND l_suppkey % 2 = 0 THEN l_suppkey - 1 ELSE l_suppkey END AS src, l_partkey AS dst FROM lineitem) JOIN supplier ON s_suppkey = src GROUP BY s_name""",
     "log_daily": "SELECT strftime(ts, '%Y-%m-%d') AS log_date, event_type AS status, count(*) AS n, round(avg(value), 6) AS mean_duration FROM events GROUP BY 1, 2",
     "log_round_trip": "SELECT 'success' AS status, 1 AS n, 0.5 AS mean_duration",

@@ -55,7 +55,7 @@ QUESTIONS = [
     ("How many YC companies are Active vs Dead vs Acquired?", 3), ("What are common patterns among failed YC startups?", 1), ("What is the breakdown of YC companies by stage?", 3), ("Which YC companies were acquired and by whom?", 2), ("Who are the most connected founders across YC?", 1),
     ("Which companies raised Series A funding?", 1), ("What is Stripe's funding history?", 3), ("Which companies raised the most funding rounds?", 1), ("Which technologies are most used by YC companies?", 3), ("How many companies use AI?", 1), ("How many companies use Artificial Intelligence?", 1),
     ("Which companies have more than 500 employees?", 1), ("Who invested in Stripe?", 1), ("Which investors backed both Stripe and RazorPay?", 1), ("What is the survival rate by industry?", 4), ("Which batches have the most payments companies?", 2), ("Which technologies are used by Stripe?", 1),
-    ("Which companies use Ruby?", 1), ("Which industries have the most active companies?", 4),
+    ("Can you tell me who founded Stripe? Also tell me who were the founders of RazorPay.", 3), ("Which founders started more than one YC company?", 1), ("What technologies are most commonly used by payments companies?", 2), ("Which investors have the most YC portfolio companies?", 2), ("Which companies use Ruby?", 1), ("Which industries have the most active companies?", 4),
 ]
 
 
@@ -71,7 +71,7 @@ FACETS = [
     ("Which companies use AI?", 1), ("Which active San Francisco companies are using AI?", 1), ("Which investors invest in payments companies?", 2), ("Which W15 companies are dead?", 1), ("Compare payments companies from S09 vs W15.", 2),
     ("Which active AI companies have fewer than 50 employees?", 0), ("Which dead consumer companies came from S20?", 0), ("Which active companies have more than 500 employees?", 1), ("How many payments companies are there in USA?", 1),
     ("Which companies raised funding but are inactive?", 0), ("Which companies from W15 are public or acquired?", 0), ("Which fintech companies are headquartered in India?", 1), ("Compare payments companies in San Francisco and Bengaluru", 2),
-    ("Which companies make nuclear-powered smartphones?", None), ("Which companies use Kubernetes?", 0), ("Which AI companies are from W21 vs S21?", 0),
+    ("Which companies make nuclear-powered smartphones?", 0), ("Which companies build payments tools?", 0), ("Compare Artificial Intelligence companies in S09 and W15.", 1), ("Which active B2B SaaS companies from the S09 or W15 batches have fewer than 20 employees?", 0), ("Which companies use Kubernetes?", 0), ("Which AI companies are from W21 vs S21?", 0),
 ]
 
 

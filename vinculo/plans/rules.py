@@ -140,7 +140,7 @@ def case_insensitive_names(a: Analysis) -> Iterator[str]:
     for node, key, _ in a.maps():
         label = a.labels.get(node.variable or "") or next((x for x in FOLDED if x.casefold() == (node.label or "").casefold()), None)
         if key in FOLDED.get(label, ()):
-            yield f"Match {label}.{key} case-insensitively: compare toLower of it with lowercase literals instead of a property map."
+            yield f"A property map compares {label}.{key} as it is written; test toLower of it against lower-case texts (case-insensitively)."
     for t in a.tests():
         if t.op not in TEXT_TESTS:
             continue
@@ -153,12 +153,12 @@ def case_insensitive_names(a: Analysis) -> Iterator[str]:
             if prop.name not in FOLDED.get(label, ()):
                 continue
             if raw is not None and not isinstance(other, S.Property):
-                yield f"Match {label}.{prop.name} case-insensitively with toLower({prop.owner.name}.{prop.name}) and lowercase literals."
+                yield f"{label}.{prop.name} is compared as it is written; wrap it as toLower({prop.owner.name}.{prop.name}) to compare case-insensitively."
             elif low is not None and t.op == "IN" and side is t.left and isinstance(other, S.ListOf):
                 if not _texts(other) or any(v != v.lower() for v in _texts(other)):
-                    yield f"Use lowercase literals with toLower({prop.owner.name}.{prop.name}) IN."
+                    yield f"The list beside toLower({prop.owner.name}.{prop.name}) holds texts that aren't in lower case."
             elif low is not None and isinstance(other, S.Literal) and isinstance(other.value, str) and other.value != other.value.lower():
-                yield f"Use a lowercase literal with toLower({prop.owner.name}.{prop.name})."
+                yield f"The text beside toLower({prop.owner.name}.{prop.name}) isn't in lower case, so nothing can equal it."
 
 
 def distinct_company_counts(a: Analysis) -> Iterator[str]:
@@ -166,7 +166,7 @@ def distinct_company_counts(a: Analysis) -> Iterator[str]:
     companies = a.variables("Company")
     if not companies:
         return
-    complaint = "Count companies with count(DISTINCT {}) to avoid duplicates."
+    complaint = "A company on several paths would be counted several times; count DISTINCT {}."
     counts = a.calls("count")
     named = lambda c: isinstance(c, S.Variable) and c.name in companies
     good = False
@@ -181,7 +181,7 @@ def distinct_company_counts(a: Analysis) -> Iterator[str]:
             ends = [v for _, v in arg.whens] + [arg.otherwise]
             if any(named(v) for v in ends if v is not None):
                 if not c.distinct:
-                    yield "Count conditional companies with count(DISTINCT CASE ... THEN company END)."
+                    yield "A count of companies under a condition needs DISTINCT before its CASE."
                 good = True
     intent = a.asks(COUNTS_COMPANIES)
     intent = intent or any(re.fullmatch(COUNT_ALIAS, i.alias, re.I) for i in a.query.result.items)
@@ -196,14 +196,14 @@ def status_evidence(a: Analysis) -> Iterator[str]:
         if not filtered or not a.returned_from(lambda e, v=v: _is_property(e, v, "name")):
             continue
         if not any(i.alias == "status" for i in a.returned_from(lambda e, v=v: _is_property(e, v, "status"))):
-            yield "Return the filtered company status AS status."
+            yield "Companies are chosen by their status, but the result has no column status that shows it."
 
 
 def full_batch_names(a: Analysis) -> Iterator[str]:
     """Batches are filtered by their full names."""
     for m in re.finditer(SHORT_BATCH, a.question, re.I):
         short, full = m[0], expand_batches(m[0])
-        complaint = f'Use the stored batch name "{full}" instead of "{short}".'
+        complaint = f'Batches are kept under their full names: "{short}" is "{full}".'
         texts = _texts(a.query)
         filtered = any(full in _texts(t) and any(isinstance(x, S.Property) and x.name in ("name", "yc_batch") or isinstance(x, S.Variable) for x in t.walk()) for t in a.tests() if t.op in ("=", "IN"))
         filtered = filtered or any(key in ("name", "yc_batch") and full in _texts(value) for _, key, value in a.maps())
@@ -231,14 +231,14 @@ def both_ai_names(a: Analysis) -> Iterator[str]:
         low = _folded(t.left)
         if t.op == "IN" and low is not None and low.name == "name" and a.labels.get(getattr(low.owner, "name", "")) in CATEGORIES and set(AI_ALIASES) <= {x.casefold() for x in _texts(t.right)}:
             return
-    yield 'Match both AI category aliases exactly with IN ["ai", "artificial intelligence"].'
+    yield 'Artificial intelligence has two names; test the category for both of them, "ai" and "artificial intelligence", by IN.'
 
 
 def canonical_categories(a: Analysis) -> Iterator[str]:
     """Categories are grouped under one label for both names of artificial intelligence."""
     if not a.calls("count"):
         return
-    complaint = f"Normalize AI and Artificial Intelligence to the canonical {AI_LABEL} label before category aggregation."
+    complaint = f"Categories are grouped as written, so the two names of {AI_LABEL} would be two groups; map both to that label first."
     categories = a.variables(*CATEGORIES)
     for i in a.items():
         cases = [x for x in i.expr.walk() if isinstance(x, S.Case)]
@@ -259,7 +259,7 @@ def both_of_b2b_saas(a: Analysis) -> Iterator[str]:
         return
     texts = " ".join(t.casefold() for t in _texts(a.query))
     if "b2b" not in texts or "saas" not in texts:
-        yield "B2B SaaS requires explicit filters for both categories."
+        yield "Of the categories B2B and SaaS at least one is never tested."
         return
     names = lambda x: {t.casefold() for t in _texts(x)} & {"b2b", "saas"}
     for w in a.filters:
@@ -268,9 +268,9 @@ def both_of_b2b_saas(a: Analysis) -> Iterator[str]:
                 sides = [names(p) for p in x.parts]
                 if {"b2b"} in sides and {"saas"} in sides:
                     member = any(isinstance(p, S.Compare) and p.op == "IN" and isinstance(p.left, S.Literal) for p in x.parts)
-                    yield "B2B SaaS requires both categories, not OR membership." if member else "B2B SaaS requires both categories, not an OR condition."
+                    yield "B2B and SaaS are joined by OR on a list of categories; both are asked for." if member else "B2B and SaaS are joined by OR; both are asked for."
             if isinstance(x, S.Compare) and x.op == "IN" and isinstance(x.right, S.ListOf) and names(x.right) == {"b2b", "saas"}:
-                yield "B2B SaaS requires both categories, not IN membership."
+                yield "IN takes B2B or SaaS; both are asked for."
 
 
 def known_team_sizes(a: Analysis) -> Iterator[str]:
@@ -283,7 +283,7 @@ def known_team_sizes(a: Analysis) -> Iterator[str]:
     zero = lambda x: isinstance(x, S.Literal) and x.value == 0
     known = any(size(t.left) and t.op == ">" and zero(t.right) or size(t.right) and t.op == "<" and zero(t.left) for t in tests)
     if upper and not known:
-        yield "Exclude unknown team sizes with c.team_size > 0."
+        yield "A team size of 0 is an unknown one; demand that it is above 0 as well."
 
 
 def fintech_lists(a: Analysis) -> Iterator[str]:
@@ -293,23 +293,23 @@ def fintech_lists(a: Analysis) -> Iterator[str]:
         return
     filters = {t.casefold() for w in a.filters for t in _texts(w)}
     if not all(any(n in f for f in filters) for n in FINTECH):
-        yield "Treat fintech as Fintech, Finance, or Payments industries."
+        yield "Fintech goes by three names here: fintech, finance and payments; test for all."
         return
     companies = {i.expr.owner.name for i in a.query.result.items if i.alias == "company" and isinstance(i.expr, S.Property) and i.expr.name == "name" and isinstance(i.expr.owner, S.Variable)}
     linked = lambda kind: {end for start, k, end in a.links if k == kind and start in companies}
     matched = {v for v in linked("OPERATES_IN") for t in a.tests() if t.op == "IN" and _folded(t.left) and _is_property(_folded(t.left), v, "name") and set(FINTECH) <= set(_texts(t.right))}
     if not matched:
-        yield "Filter the returned company's industry with IN [fintech, finance, payments]."
+        yield "The test for the three fintech names isn't on an industry of the company that is listed."
         return
     shows = lambda vs, alias: any(i.alias == alias and any(_is_property(i.expr, v, "name") for v in vs) for i in a.query.result.items)
     if not shows(matched, "industry"):
-        yield "Return the matched industry name AS industry."
+        yield "The result has no column industry with the industry that fitted."
     if a.asks(r"\bpython\b"):
         used = {v for v in linked("USES") for t in a.tests() if t.op == "=" and _folded(t.left) and _is_property(_folded(t.left), v, "name") and _texts(t.right) == ["python"]}
         if not used:
-            yield "Filter the returned company's matched Technology as Python."
+            yield "Nothing tests that the listed company uses python."
         elif not shows(used, "technology"):
-            yield "Return the matched technology name AS technology."
+            yield "The result has no column technology with the technology that fitted."
 
 
 RULES = (case_insensitive_names, distinct_company_counts, status_evidence, full_batch_names, both_ai_names, canonical_categories, both_of_b2b_saas, known_team_sizes, fintech_lists)
@@ -318,7 +318,7 @@ RULES = (case_insensitive_names, distinct_company_counts, status_evidence, full_
 def complaints(question: str, text: str) -> list[tuple[str, str]]:
     """(rule, complaint) of all rules that a query breaks; a text that can't be read breaks ``readable``."""
     if re.search(r"\bUNION\b", masked(text), re.I):
-        return [("no_union", "Use one result-producing query instead of UNION.")]
+        return [("no_union", "UNION isn't supported; ask in one query.")]
     try:
         analysis = Analysis(question, S.parse(text))
     except QueryError as e:

@@ -54,25 +54,27 @@ FIELDS = {
 }
 
 
-def candidates(records: DataFrame, trust: DataFrame, fields=FIELDS) -> DataFrame:
+def candidates(records: DataFrame, trust: DataFrame, fields=FIELDS, *, values: bool = True) -> DataFrame:
     """``company_id, several, c`` with ``c`` the records that can be needed of each company, best first.
 
     A source without a trust has trust below all others; a null ``updated_at`` is older than any; rows with a null
-    company or record are left out; repeated deliveries of a record change nothing.
+    company or record are left out; repeated deliveries of a record change nothing. Without ``values`` only ids are
+    carried, not what the fields state.
     """
     mask = sum((F.when(test(), F.lit(1 << i)).otherwise(F.lit(0)) for i, test in enumerate(fields.values())), F.lit(0))
-    # the table of trusts is a fixed one, one row per source
-    known = F.broadcast(trust.groupBy(F.col("source").alias("__source")).agg(F.max("trust").alias("__trust")))
+    carried = list(fields) if values else []
+    # the table of trusts is small and fixed, one row per source; it is joined by its size
+    known = trust.groupBy(F.col("source").alias("__source")).agg(F.max("trust").alias("__trust"))
     rows = (
         records.where(F.col("company_id").isNotNull() & F.col("record_id").isNotNull())
         .join(known, F.col("source") == F.col("__source"), "left")
-        .select("company_id", "record_id", mask.alias("mask"), F.coalesce("__trust", F.lit(-1)).alias("trust"), F.coalesce(F.unix_micros("updated_at"), F.lit(-(2**62))).alias("recent"), *fields)
+        .select("company_id", "record_id", mask.alias("mask"), F.coalesce("__trust", F.lit(-1)).alias("trust"), F.coalesce(F.unix_micros("updated_at"), F.lit(-(2**62))).alias("recent"), *carried)
     )
     rank = F.struct(F.col("recent"), -F.col("record_id"))
     cells = rows.groupBy("company_id", "mask", "trust").agg(
-        F.max_by(F.struct("record_id", "recent", *fields), rank).alias("r"), F.min("record_id").alias("lo"), F.max("record_id").alias("hi")
+        F.max_by(F.struct("record_id", "recent", *carried), rank).alias("r"), F.min("record_id").alias("lo"), F.max("record_id").alias("hi")
     )
-    item = F.struct((-F.col("trust")).alias("a"), (-F.col("r.recent")).alias("b"), F.col("r.record_id").alias("record_id"), "trust", F.col("r.recent").alias("recent"), "mask", F.struct(*[F.col(f"r.{f}") for f in fields]).alias("f"))
+    item = F.struct((-F.col("trust")).alias("a"), (-F.col("r.recent")).alias("b"), F.col("r.record_id").alias("record_id"), "trust", F.col("r.recent").alias("recent"), "mask", *([F.struct(*[F.col(f"r.{f}") for f in carried]).alias("f")] if values else []))
     return cells.groupBy("company_id").agg((F.min("lo") < F.max("hi")).alias("several"), F.array_sort(F.collect_list(item)).alias("c"))
 
 
@@ -104,7 +106,7 @@ def _best(field_no: int) -> Column:
 
 def chosen_records(records: DataFrame, trust: DataFrame, fields=FIELDS) -> DataFrame:
     """``company_id, field, record_id``: the record that fills each field of the companies with several records."""
-    ranked = layers(candidates(records, trust, fields).where("several"))
+    ranked = layers(candidates(records, trust, fields, values=False).where("several"))
     picks = F.array(*[F.struct(F.lit(f).alias("field"), _best(i)["record_id"].alias("record_id")) for i, f in enumerate(fields)])
     return ranked.select("company_id", F.inline(picks)).where("record_id is not null")
 

@@ -59,7 +59,7 @@ def test_contradicting_cycles_are_refused():
 def test_convert_keeps_every_row(spark):
     table = U.money_graph(RATES).table(spark, "USD")
     df = spark.createDataFrame([("1", "m EUR"), ("2", "nothing"), (None, "USD"), ("1", None), ("1", "m EUR")], "q string, unit string")
-    got = U.convert(df, F.col("q"), F.col("unit"), table).collect()
+    got = U.convert(df, F.col("q"), F.col("unit"), F.lit("USD"), table).collect()
     assert sorted((r["canonical"] or Decimal(0)) for r in got) == [0, 0, 0, 1_100_000, 1_100_000]
 
 
@@ -76,3 +76,18 @@ def test_table(spark):
 def test_long_texts_end():
     assert A.parse("x" * 100_000, None, None) is None
     assert A.parse("$5m " + "and more " * 5_000, None, "word " * 5_000) == ("5", "m USD")
+
+
+def test_several_targets_and_real_cycles(spark):
+    graph = U.UnitGraph()
+    graph.add("km", "m", 1000)
+    graph.add("mi", "km", "1.609344")
+    graph.add("C", "K", 1, "273.15")
+    both = graph.table(spark, "m").unionByName(graph.table(spark, "K"))
+    df = spark.createDataFrame([("2", "km", "m"), ("1", "mi", "m"), ("20", "C", "K"), ("20", "C", "m"), (None, "km", "m"), ("1", None, "m")], "q string, unit string, target string")
+    got = [r["canonical"] and float(r["canonical"]) for r in U.convert(df, F.col("q"), F.col("unit"), F.col("target"), both).collect()]
+    assert sorted(got, key=str) == sorted([2000.0, 1609.344, 293.15, None, None, None], key=str)
+    money = U.money_graph(RATES)
+    money.add("crore INR", "lakh INR", 99)  # contradicts the steps that are there
+    with pytest.raises(U.InconsistentUnits):
+        money.to("USD")

@@ -15,29 +15,32 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return best.select(*[F.col(f"`{k}`") for k in keys], *[F.col("__best")[c].alias(c) for c in rest]).select(*rows.columns)
 
 
+def _new_id(keys: list[str]) -> Column:
+    return F.xxhash64(*keys).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+
+
 def upsert_nodes(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """Nodes of ``old`` with those of ``new`` merged by key: known keys get the new properties and keep their id.
 
     ``new`` has the columns of ``old`` without ``node_id``; of several rows with one key the last by ``order`` counts.
-    Rows with a null key part are left out. New nodes get ids above all old ones.
+    Rows with a null key part are left out. New nodes get a hash of their key for an id, above all counted
+    ones, so it is the same however often and wherever it is worked out.
     """
     order = order or [F.lit(0)]
     valid = new.where(" and ".join(f"`{k}` is not null" for k in keys))
     fresh = last_wins(valid, keys, order)
     props = [c for c in old.columns if c not in ("node_id", *keys)]
-    top = old.agg(F.coalesce(F.max("node_id"), F.lit(-1)).alias("top"))
     both = old.join(fresh.select(*keys, F.struct(F.lit(1).alias("__there"), *[F.col(p) for p in props]).alias("__new")), keys, "full")
     merged = both.select("node_id", *keys, *[F.when(F.col("__new").isNotNull(), F.col("__new")[p]).otherwise(F.col(p)).alias(p) for p in props])
     known, added = merged.where("node_id is not null"), merged.where("node_id is null").drop("node_id")
-    numbered = added.crossJoin(F.broadcast(top)).withColumn("node_id", F.col("top") + 1 + F.monotonically_increasing_id()).drop("top")
+    numbered = added.withColumn("node_id", _new_id(keys))
     return known.unionByName(numbered).select(*old.columns)
 
 
 def get_or_create(old: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
     """Nodes of ``old`` and one for each key of ``names`` that it lacks, whose other properties are null."""
     missing = names.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).distinct().join(old.select(*keys), keys, "left_anti")
-    top = old.agg(F.coalesce(F.max("node_id"), F.lit(-1)).alias("top"))
-    added = missing.crossJoin(F.broadcast(top)).withColumn("node_id", F.col("top") + 1 + F.monotonically_increasing_id()).drop("top")
+    added = missing.withColumn("node_id", _new_id(keys))
     return old.unionByName(added, allowMissingColumns=True)
 
 

@@ -3,7 +3,8 @@
 Units are nodes; an edge ``a -> b`` says ``x_b = scale * x_a + shift``. The shortest composition (fewest edges) from
 every unit to the canonical one is worked out once on the driver, for the graph is a fixed table; every cycle is
 checked to be the identity within a tolerance, so contradicting conversions are an error and not a silent choice.
-Rows are then converted by an equi-join on the source unit, broadcast as the table has one row per unit.
+Rows are then converted by an equi-join on source unit and canonical target, so one table serves several targets. The
+table has a row for each unit and target; it is broadcast up to MAX_UNITS rows and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 #: Scales of sums of money, as powers of ten of the plain currency. Fixed values.
 MONEY_SCALES = {"": 0, "k": 3, "lakh": 5, "m": 6, "crore": 7, "b": 9, "t": 12}
-#: Above so many units a table of conversions isn't small any more.
+#: How a scale is made of a smaller one, besides of the plain currency; so the graph of money has cycles to check. Fixed values.
+SCALE_STEPS = [("lakh", "k", 100), ("m", "k", 1000), ("m", "lakh", 10), ("crore", "lakh", 100), ("crore", "m", 10), ("b", "m", 1000), ("t", "b", 1000)]
+#: Above so many rows a table of conversions isn't broadcast.
 MAX_UNITS = 10_000
 
 
@@ -74,13 +77,10 @@ class UnitGraph:
         return abs(a.scale - b.scale) <= self.tolerance * abs(b.scale) and abs(a.shift - b.shift) <= self.tolerance * max(1, abs(b.shift))
 
     def table(self, spark: SparkSession, canonical: str) -> DataFrame:
-        """``unit, scale decimal, shift decimal, steps`` for every unit that reaches the canonical one."""
-        ways = self.to(canonical)
-        if len(ways) > MAX_UNITS:
-            raise ValueError(f"{len(ways)} units are too many to broadcast")
-        rows = [(u, _decimal(f.scale), _decimal(f.shift), n) for u, (f, n) in sorted(ways.items())]
-        texts = spark.createDataFrame(rows, "unit string, scale string, shift string, steps int")
-        return texts.select("unit", F.col("scale").cast("decimal(38,12)").alias("scale"), F.col("shift").cast("decimal(38,12)").alias("shift"), "steps")
+        """``unit, target, scale decimal, shift decimal, steps`` for every unit that reaches the canonical one."""
+        rows = [(u, canonical, _decimal(f.scale), _decimal(f.shift), n) for u, (f, n) in sorted(self.to(canonical).items())]
+        texts = spark.createDataFrame(rows, "unit string, target string, scale string, shift string, steps int")
+        return texts.select("unit", "target", F.col("scale").cast("decimal(38,12)").alias("scale"), F.col("shift").cast("decimal(38,12)").alias("shift"), "steps")
 
 
 def _decimal(x: Fraction) -> str:
@@ -103,14 +103,19 @@ def money_graph(rates: list[tuple[str, float]], canonical: str = "USD") -> UnitG
         for name, power in MONEY_SCALES.items():
             if name:
                 graph.add(f"{name} {currency}", currency, 10**power)
+        for name, smaller, times in SCALE_STEPS:
+            graph.add(f"{name} {currency}", f"{smaller} {currency}", times)
     return graph
 
 
-def convert(df: DataFrame, quantity: Column, unit: Column, conversions: DataFrame, *, out: str = "canonical") -> DataFrame:
-    """Adds ``out``, the quantity in the canonical unit; null for a null quantity or a unit without a conversion.
+def convert(df: DataFrame, quantity: Column, unit: Column, target: Column, conversions: DataFrame, *, out: str = "canonical") -> DataFrame:
+    """Adds ``out``, the quantity in the target unit; null for a null quantity or where no conversion leads to the target.
 
-    Every row of ``df`` comes out once. The multiplication is in exact decimals.
+    Every row of ``df`` comes out once. The multiplication is in exact decimals: quantities have up to 19 digits before
+    the point and 6 behind it, factors 13 and 9; what is larger comes out as null, what is finer is rounded.
     """
-    known = F.broadcast(conversions.select(F.col("unit").alias("__unit"), F.col("scale").alias("__scale"), F.col("shift").alias("__shift")))
+    known = conversions.select(F.col("unit").alias("__unit"), F.col("target").alias("__target"), F.col("scale").alias("__scale"), F.col("shift").alias("__shift"))
+    if known.count() <= MAX_UNITS:
+        known = F.broadcast(known)
     value = quantity.cast("decimal(25,6)") * F.col("__scale").cast("decimal(22,9)") + F.col("__shift").cast("decimal(22,9)")
-    return df.join(known, unit == F.col("__unit"), "left").withColumn(out, value).drop("__unit", "__scale", "__shift")
+    return df.join(known, (unit == F.col("__unit")) & (target == F.col("__target")), "left").withColumn(out, value).drop("__unit", "__target", "__scale", "__shift")

@@ -58,5 +58,5 @@ def ask(graph: Graph, question: str, *, api_key: str | None = None, expected_key
     out["duration"] = round(time.time() - began, 2)
     if log_path:
         logged = {k: out.get(k) for k in ("question", "method", "cypher", "answer", "result_count", "duration")}
-        querylog.append(graph.spark, log_path, ip_address=ip_address, status="success" if out["code"] == 200 else "error", error=out.get("error", ""), cypher_result=str(out.get("rows", ""))[:30_000], **logged)
+        querylog.append(graph.spark, log_path, ip_address=ip_address, status="success" if out["code"] == 200 else "error", error=out.get("error", ""), cypher_result=str(out.get("rows", "")), **logged)
     return out

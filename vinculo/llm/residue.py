@@ -106,6 +106,23 @@ WORDS = re.compile(r"\w+")
 TRAIL = re.compile(r"^[\W\d_]*$|^(?:ref|incident|request id|id|case|trace|code|error|http|status|step|page)?\W*#?\W*(?:[*0-9a-f]+\W*)$", re.I)
 
 
+try:  # one pass for all hints
+    import ahocorasick
+
+    _hints = ahocorasick.Automaton()
+    for _h in HINTS:
+        _hints.add_word(_h, _h)
+    _hints.make_automaton()
+
+    def hinted(low: str) -> bool:
+        return next(_hints.iter(low), None) is not None
+
+except ImportError:
+
+    def hinted(low: str) -> bool:
+        return any(h in low for h in HINTS)
+
+
 def classify(segment: str) -> str:
     """``message``, ``filler``, ``neutral`` or ``content``: what one line or sentence is, by itself."""
     s = segment.strip()
@@ -115,7 +132,7 @@ def classify(segment: str) -> str:
     if len(words) >= 6 and len(set(words)) <= min(4, max(2, len(words) // 12)):
         return "message"
     low = s.lower()
-    if FIELD.match(s) or any(h in low for h in HINTS) and MESSAGES.search(s):
+    if FIELD.match(s) or hinted(low) and MESSAGES.search(s):
         return "message"
     latin = sum(w in LATIN for w in words)
     if latin >= 2 and latin >= 0.2 * len(words) and len({w for w in words if w in LATIN}) >= 2:
@@ -209,11 +226,14 @@ def mine(masks: DataFrame) -> DataFrame:
     A template is a message if one started it.
     """
     tokens = F.split(F.trim("mask"), r"\s+")
-    rows = durable(masks.withColumn("leaf", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))).withColumn("salt", F.lit(0)))
-    tasks = max(masks.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // LEAF_MASKS))
-    large = durable(rows.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > LEAF_MASKS).select("leaf", F.ceil(F.col("c") / LEAF_MASKS).alias("parts")))
-    if large.isEmpty():
+    rows = masks.withColumn("leaf", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))).withColumn("salt", F.lit(0))
+    leaves = rows.groupBy("leaf").agg(F.count("*").alias("c"))
+    size = leaves.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.max("c"), F.lit(0)).alias("most")).first()
+    tasks = max(masks.sparkSession.sparkContext.defaultParallelism, -(-size["all"] // LEAF_MASKS))
+    if size["most"] <= LEAF_MASKS:
         return _mine(rows, tasks).select("mask_id", "template", "message", "size")
+    large = durable(leaves.where(F.col("c") > LEAF_MASKS).select("leaf", F.ceil(F.col("c") / LEAF_MASKS).alias("parts")))
+    rows = durable(rows)
     salted = lookup(rows.drop("salt"), large, "leaf").withColumn("salt", F.pmod(F.xxhash64("mask_id"), F.coalesce("parts", F.lit(1))).cast("int"))
     first = durable(_mine(salted, tasks))
     parts = first.groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("mask").alias("mask"), F.count("*").alias("n"), F.max("message").cast("int").alias("verdict"), F.lit(0).alias("salt"))
@@ -229,7 +249,7 @@ def filled(said: DataFrame) -> DataFrame:
 
     Words are told by the masks known for filler (a verdict of 2) among all that have the word.
     """
-    words = said.where("verdict <> 1").select("mask_id", "verdict", F.array_distinct(F.split(F.lower("mask"), r"[^\p{L}\p{N}]+")).alias("ws"))
+    words = said.where("verdict <> 1").select("mask_id", "verdict", F.array_distinct(F.split(F.translate(F.lower("mask"), ".,;:!?()*\"…", ""), " ")).alias("ws"))
     words = words.select("mask_id", "verdict", F.filter("ws", lambda w: w != "").alias("ws"))
     each = words.select("mask_id", "verdict", F.size("ws").alias("size"), F.explode("ws").alias("w"))
     each = each.join(each.where("verdict = 2").select("w").distinct(), "w")
@@ -250,13 +270,13 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The ids of the documents that are residue, once each. Other columns are ignored; null ids are left out."""
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     # repeated texts count once; what is left of invisible characters has no word and so is neutral
-    rows = docs.select("d", F.xxhash64("t").alias("text_id"), segments(F.col("t")).alias("s")).select("d", "text_id", F.explode("s").alias("s")).where(F.trim("s") != "")
-    rows = rows.select("d", "text_id", F.trim(mask(F.col("s"))).alias("mask")).where("mask <> ''")
+    rows = docs.select("d", "t", F.xxhash64("t").alias("text_id")).select("d", "text_id", F.explode(segments(F.col("t"))).alias("s")).where(F.trim("s") != "")
+    rows = rows.select("d", "text_id", F.trim(mask(F.col("s"))).alias("mask"))
     seed = 0
     while True:
         coded = durable(rows.select("d", "text_id", F.xxhash64(F.lit(seed), "mask").alias("mask_id"), "mask"))
-        masks = durable(coded.groupBy("mask_id").agg(F.min("mask").alias("mask"), F.max("mask").alias("other"), F.count("*").alias("n")))
-        if masks.where("mask <> other").isEmpty():
+        masks = durable(coded.groupBy("mask_id", "mask").agg(F.count("*").alias("n")))
+        if masks.groupBy("mask_id").count().where("count > 1").isEmpty():
             break
         discard(coded)  # two masks with one hash: take another seed
         seed += 1
@@ -267,11 +287,11 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pdf.assign(verdict=[verdicts[classify(m)] for m in pdf["mask"]])
 
     spread = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    said = durable(masks.drop("other").repartition(spread).mapInPandas(judge, "mask_id long, mask string, n long, verdict int").where("verdict >= 0"))
+    said = durable(masks.repartition(spread).mapInPandas(judge, "mask_id long, mask string, n long, verdict int").where("verdict >= 0"))
     filler = filled(said)
     said = said.join(filler.withColumn("filler", F.lit(1)), "mask_id", "left").select("mask_id", "mask", "n", F.greatest(F.least("verdict", F.lit(1)), F.coalesce("filler", F.lit(0))).alias("verdict"))
     known = durable(mine(said))
-    marked = durable(lookup(coded.select("d", "text_id", "mask_id").distinct(), known, "mask_id", "inner").select("d", "text_id", "template", "message", "size"))
+    marked = durable(lookup(coded.select("d", "text_id", "mask_id"), known, "mask_id", "inner").select("d", "text_id", "template", "message", "size"))
     suspects = durable(marked.where("message").groupBy("d").agg(F.sum("size").alias("said")))
     # only what stands in suspect documents can be a companion
     beside = durable(marked.where("not message").join(suspects.select("d", "said"), "d", "left"))

@@ -294,11 +294,13 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = durable(lookup(coded.select("d", "text_id", "mask_id"), known, "mask_id", "inner").select("d", "text_id", "template", "message", "size"))
     suspects = durable(marked.where("message").groupBy("d").agg(F.sum("size").alias("said")))
     # only what stands in suspect documents can be a companion
-    beside = durable(marked.where("not message").join(suspects.select("d", "said"), "d", "left"))
-    share = beside.groupBy("template").agg(F.count_distinct("text_id").alias("n"), F.count_distinct(F.when(F.col("said").isNotNull(), F.col("text_id"))).alias("with_message"))
+    plain = marked.where("not message")
+    beside = durable(plain.join(suspects, "d"))
+    with_message = durable(beside.groupBy("template").agg(F.count_distinct("text_id").alias("with_message")))
+    share = plain.join(with_message.select("template"), "template", "left_semi").groupBy("template").agg(F.count_distinct("text_id").alias("n")).join(with_message, "template")
     lone = F.col("n") < COMPANION_TEXTS
-    other = share.where("with_message > 0").where(lone | (F.col("with_message") < COMPANION_SHARE * F.col("n"))).select("template", lone.alias("lone"))
-    content = beside.where("said is not null").join(other, "template").groupBy("d", "said").agg(F.min("lone").alias("lone"), F.sum("size").alias("size"))
+    other = share.where(lone | (F.col("with_message") < COMPANION_SHARE * F.col("n"))).select("template", lone.alias("lone"))
+    content = beside.join(other, "template").groupBy("d", "said").agg(F.min("lone").alias("lone"), F.sum("size").alias("size"))
     content = content.where("not lone or size > said").select("d")
     whole = suspects.select("d").join(content, "d", "left_anti")
     slots = unresolved(docs, "d", "t")

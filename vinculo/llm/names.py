@@ -376,7 +376,7 @@ def strict_links(views: DataFrame) -> DataFrame:
     whole = views.where("kind = 'V'")
     own = whole.where("block like '1|%'")
     heads = own.groupBy("label", "block", "text").agg(F.min("id").alias("head"), F.max((F.col("middle") == "").cast("int")).alias("open"))
-    mid = own.groupBy("label", "block", "text", F.substring("middle", 1, 1).alias("mi")).agg(F.min_by("id", F.struct(-F.length("middle"), "id")).alias("v"), F.min_by("middle", F.struct(-F.length("middle"), "id")).alias("mm"))
+    mid = own.groupBy("label", "block", "text", F.substring("middle", 1, 1).alias("mi")).agg(F.min_by("id", F.struct(-F.length("middle"), "middle", "id")).alias("v"), F.min_by("middle", F.struct(-F.length("middle"), "middle")).alias("mm"))
     equal = own.withColumn("mi", F.substring("middle", 1, 1)).join(heads, ["label", "block", "text"]).join(mid, ["label", "block", "text", "mi"])
     equal = equal.select(F.col("id").alias("u"), F.when(F.col("open") == 1, F.col("head")).when(_fit(F.col("middle"), F.col("mm")), F.col("v")).alias("v")).where("u <> v")
     same = equal.unionByName(mid.join(heads, ["label", "block", "text"]).where("open = 1 and v <> head").select(F.col("v").alias("u"), F.col("head").alias("v")))
@@ -384,7 +384,7 @@ def strict_links(views: DataFrame) -> DataFrame:
     blocked = whole.withColumn("block", F.concat_ws("#", "label", "block"))
     texts = durable(blocked.groupBy("block", "text").agg(F.expr("bit_or(role)").alias("role"), F.max("up").alias("up")))
     near = durable(segment_pairs(texts))
-    who = blocked.where("block not like '%#3|%'").groupBy("block", "text", F.substring("middle", 1, 1).alias("mi")).agg(F.min("id").alias("id"), F.min_by("middle", -F.length("middle")).alias("middle"))
+    who = blocked.where("block not like '%#3|%'").groupBy("block", "text", F.substring("middle", 1, 1).alias("mi")).agg(F.min_by("id", F.struct(-F.length("middle"), "middle", "id")).alias("id"), F.min_by("middle", F.struct(-F.length("middle"), "middle")).alias("middle"))
     who = durable(who)
     a = near.join(who.select("block", F.col("text").alias("a"), F.col("id").alias("u"), F.col("middle").alias("m1")), ["block", "a"])
     ab = a.join(who.select("block", F.col("text").alias("b"), F.col("id").alias("v"), F.col("middle").alias("m2")), ["block", "b"])
@@ -421,7 +421,7 @@ def members(nodes: DataFrame) -> DataFrame:
     strict, near = strict_links(views)
     # all readings of a name are one entity
     named = durable(read.select("name", *cols).join(profiles.select("id", *cols), cols).select(F.concat_ws("\n", "label", "name").alias("key"), "id"))
-    readings = named.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v").select("u", "v")
+    readings = named.groupBy("key").agg(F.min("id").alias("u"), F.collect_set("id").alias("ids")).select("u", F.explode("ids").alias("v")).where("u <> v")
     roots = components(strict.unionByName(readings))
     groups = durable(profiles.select("id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("group")))
     into = durable(attached(views, groups, near))

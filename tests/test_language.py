@@ -72,6 +72,60 @@ def test_cap(graph):
     assert answer(graph, "MATCH (c:Company) RETURN c.name AS n LIMIT 1", cap=2).count() == 1
 
 
+# patterns whose last edges are counted, not listed, with what tells the matches of one apart
+COUNTED = [
+    ("(c:Company)-[x:OPERATES_IN]->(i:Industry), (d:Company)-[y:OPERATES_IN]->(i)", "i.name", ""),
+    ("(c:Company)-[x:OPERATES_IN]->(i:Industry)<-[y:OPERATES_IN]-(d:Company)", "i.name", ""),
+    ("(a:Investor)-[x:INVESTED_IN]->(c:Company), (b:Investor)-[y:INVESTED_IN]->(c), (d:Investor)-[z:INVESTED_IN]->(c)", "c.name", ""),
+    ("(a:Founder)-[x:FOUNDED]->(c:Company)-[y:HEADQUARTERED_IN]->(l:Location), (c)<-[z:INVESTED_IN]-(b:Investor), (c)-[w:OPERATES_IN]->(i:Industry)", "c.name", "WHERE c.team_size > 1"),
+    ("(c:Company)-[x]->(t), (d:Company)-[y:USES]->(t)", "c.name", ""),
+    ("(a:Company)-[x:COMPETES_WITH]->(b:Company), (b)-[y:COMPETES_WITH]-(d:Company)", "a.name", ""),
+    ("(a:Company)-[x:COMPETES_WITH]-(b:Company), (b)-[y:COMPETES_WITH]-(d:Company), (a)-[z:ACQUIRED_BY]-(e:Company)", "b.name", ""),
+]
+
+
+@pytest.mark.parametrize("i", range(len(COUNTED)))
+def test_counted_ends_are_the_listed_matches(graph, i):
+    pattern, key, where = COUNTED[i]
+    edges = [x for x in "xyzw" if f"[{x}" in pattern]
+    listed: dict = {}
+    for k, *_ in answer(graph, f"MATCH {pattern} {where} RETURN {key} AS k, {', '.join(f'id({x}) AS {x}1' for x in edges)}").collect():
+        listed[k] = listed.get(k, 0) + 1
+    counted = answer(graph, f"MATCH {pattern} {where} RETURN {key} AS k, count(*) AS n, count({key}) AS m, count(DISTINCT {key}) AS o")
+    assert [(c, t) for c, t in counted.dtypes[1:]] == [("n", "bigint"), ("m", "bigint"), ("o", "bigint")]
+    got = [tuple(r) for r in counted.collect()]
+    assert len(listed) > 0 and sorted(got, key=str) == sorted(((k, n, n if k is not None else 0, int(k is not None)) for k, n in listed.items()), key=str)
+    assert answer(graph, f"MATCH {pattern} {where} RETURN count(*) AS n").collect()[0]["n"] == sum(listed.values())
+    assert answer(graph, f"MATCH {pattern} WHERE {key} = 'nobody' RETURN count(*) AS n").collect()[0]["n"] == 0
+
+
+def test_counted_ends_after_rows_and_beside_bound_nodes(graph):
+    ask = "MATCH (c:Company)-[:OPERATES_IN]->(i:Industry) WITH c AS d, i MATCH (d)-[:OPERATES_IN]->(i) RETURN count(*) AS n"
+    assert answer(graph, ask).collect()[0]["n"] == 7
+    ask = "MATCH (c:Company)-[:OPERATES_IN]->(i:Industry) WITH c, i MATCH (d:Company)-[:OPERATES_IN]->(i) RETURN count(*) AS n"
+    assert answer(graph, ask).collect()[0]["n"] == 11
+
+
+def test_pairs_at_one_place_are_counted_not_listed(spark):
+    import threading
+
+    from pyspark.sql import functions as F
+
+    from vinculo.catalog import Graph
+
+    n = 300_000
+    company = spark.range(n).select(F.col("id").alias("node_id"))
+    place = spark.createDataFrame([(1, "x", "Here")], "node_id long, city string, country string")
+    graph = Graph(spark, {"Company": company, "Location": place}, {"HEADQUARTERED_IN": spark.range(n).select(F.col("id").alias("edge_id"), F.col("id").alias("src"), F.lit(1).cast("long").alias("dst"))})
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = answer(graph, "MATCH (c:Company)-[:HEADQUARTERED_IN]->(l:Location), (d:Company)-[:HEADQUARTERED_IN]->(l) RETURN l.country AS country, count(*) AS pairs").collect()
+    finally:
+        late.cancel()
+    assert [tuple(r) for r in got] == [("Here", n * (n - 1))]
+
+
 @pytest.mark.parametrize("text", [
     "CREATE (c:Company) RETURN c", "MATCH (c) SET c.x = 1 RETURN c", "MATCH (c) DETACH DELETE c", "MATCH (a) RETURN a UNION MATCH (b) RETURN b", "UNWIND [1] AS x RETURN x", "CALL db.labels() RETURN 1", "MATCH (c)-[:USES*1..3]->(t) RETURN c",
     "MATCH (c:Company)", "MATCH (c:Company) RETURN", "MATCH (c:Company RETURN c", "RETURN 1 AS x", "MATCH (c:Company) RETURN c.name AS x, c.status AS x", "MATCH (c:Company) RETURN d.name AS x", "MATCH (c:Company) RETURN foo(c.name) AS x",

@@ -3,6 +3,8 @@
 Variables are columns of one flat frame: a node ``c`` has ``c$id`` and ``c$<property>`` for the properties the query
 mentions, an edge the same, a value just its name. A node of whom nothing but its identity is asked is taken from the
 edge and its table isn't read. Joins are plain equi-joins, so Catalyst orders them and picks their kind by size.
+Where a MATCH goes straight into counts, an edge at the end of a pattern that nothing else names isn't expanded: rows
+carry how many such edges there are, less those the MATCH uses already.
 
 Kept from the language: an edge is used once in a MATCH; nodes are told apart by identity, not by name; items without
 an aggregate are the grouping keys; null sorts as the largest value; lists of ``collect`` have no nulls. Added: the
@@ -11,6 +13,7 @@ lists are sorted, so results don't depend on the order of rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -41,14 +44,21 @@ class Lowering:
         self.scope: dict[str, Binding] = {}
         self.asked: dict[str, set[str]] = {}
         self.whole: set[str] = set()
+        self.named: Counter[str] = Counter()
         self.hidden = 0
+        # whether the MATCH at hand goes into counts and has rows before it, its edges to count, and the column of how many matches a row stands for
+        self.counted = False
+        self.joined = False
+        self.ends: list[tuple[str, Column, Column, tuple, DataFrame]] = []
+        self.weight: str | None = None
 
     # entry
 
     def run(self, query: S.Query) -> DataFrame:
         self._usage(query)
-        for clause in query.clauses:
+        for clause, then in zip(query.clauses, [*query.clauses[1:], None]):
             if isinstance(clause, S.Match):
+                self.counted = not clause.optional and isinstance(then, S.Projection) and _counts(then)
                 self._match(clause)
             else:
                 self._project(clause)
@@ -57,6 +67,10 @@ class Lowering:
     def _usage(self, query: S.Query) -> None:
         """Which properties of which variables the query mentions; WITH may rename variables, names are shared."""
         for x in query.walk():
+            if isinstance(x, S.Variable):
+                self.named[x.name] += 1
+            elif isinstance(x, (S.NodePattern, S.EdgePattern)) and x.variable:
+                self.named[x.variable] += 1
             if isinstance(x, S.Property) and isinstance(x.owner, S.Variable):
                 self.asked.setdefault(x.owner.name, set()).add(x.name)
             elif isinstance(x, (S.NodePattern, S.EdgePattern)) and x.variable:
@@ -129,6 +143,7 @@ class Lowering:
         if clause.optional and self.frame is not None:
             return self._optional(clause)
         used: list[tuple[str, tuple]] = []
+        self.joined = self.frame is not None
         for pattern in clause.patterns:
             self._pattern(pattern, used)
         for (a, ta), (b, tb) in combinations(used, 2):
@@ -139,6 +154,31 @@ class Lowering:
                 self.frame = self.frame.where(~same)
         if clause.where is not None:
             self.frame = self.frame.where(self._expr(clause.where))
+        self._count_ends(used)
+
+    def _count_ends(self, used: list) -> None:
+        """Rows get the number of edges at the ends put aside; an edge that a row uses already isn't one of them."""
+        for here, near, edge_id, types, table in self.ends:
+            key, n, product = (self._hide() for _ in range(3))
+            self.frame = self.frame.join(table.groupBy(near.alias(key)).agg(F.count("*").alias(n)), F.col(f"`{here}$id`") == F.col(key))
+            left = F.col(n)
+            for e, own in used:
+                if set(own) & set(types):
+                    key, i, n = (self._hide() for _ in range(3))
+                    same = (F.col(f"`{here}$id`") == F.col(key)) & (F.col(f"`{e}$id`") == F.col(i))
+                    if len(own) > 1:
+                        same = same & (F.col(f"`{e}$type`") == types[0])
+                    self.frame = self.frame.join(table.groupBy(near.alias(key), edge_id.alias(i)).agg(F.count("*").alias(n)), same, "left")
+                    left = left - F.coalesce(F.col(n), F.lit(0))
+            self.frame = self.frame.withColumn(product, left if self.weight is None else F.col(self.weight) * left).where(F.col(product) > 0)
+            self.weight = product
+        self.ends = []
+
+    def _is_end(self, edge: S.EdgePattern, node: S.NodePattern) -> bool:
+        """Whether only the number of such edges matters: nothing else names them, and none of the same type is put aside."""
+        unnamed = all(x.variable is None or self.named[x.variable] == 1 for x in (edge, node)) and not edge.properties and not node.properties
+        types = self._edge_types(edge)
+        return unnamed and len(types) == 1 and not any(set(types) & set(other) for *_, other, _ in self.ends)
 
     def _pattern(self, pattern: S.Pattern, used: list) -> None:
         names = [n.variable or self._hide() for n in pattern.nodes]
@@ -172,18 +212,23 @@ class Lowering:
         if not one:
             own = self.scope[names[here]].labels
             conditions.append(self._label_of(names[here]) == F.col(f"`{e}$l{near}`") if len(own) > 1 else F.col(f"`{e}$l{near}`") == own[0])
+        n, other = names[there], F.col(f"`{e}${far}`")
+        ends = {self.graph.endpoint_labels(k)[1 if far == "b" else 0] for k in self._edge_types(edge)} if edge.direction != "-" else {x for k in self._edge_types(edge) for x in self.graph.endpoint_labels(k)}
+        unread = not self.asked.get(n) and n not in self.whole and len(labels[there]) == 1 and ends == set(labels[there])
+        # the first edge alone gives no more rows than there are edges
+        if self.counted and (used or self.joined) and there in (0, len(names) - 1) and n not in self.scope and one and unread and self._is_end(edge, pattern.nodes[there]):
+            self.ends.append((names[here], F.col(f"`{e}${near}`"), F.col(f"`{e}$id`"), self._edge_types(edge), table))
+            return
         self.frame = self.frame.join(table, conditions[0] if len(conditions) == 1 else conditions[0] & conditions[1])
         self.scope[e] = Binding("edge", self._edge_types(edge))
         used.append((e, self._edge_types(edge)))
         self._properties(e, edge.properties)
-        n, other = names[there], F.col(f"`{e}${far}`")
         if n in self.scope:
             self.frame = self.frame.where(F.col(f"`{n}$id`") == other)
             if not one and len(self.scope[n].labels) > 1:
                 self.frame = self.frame.where(self._label_of(n) == F.col(f"`{e}$l{far}`"))
         else:
-            ends = {self.graph.endpoint_labels(k)[1 if far == "b" else 0] for k in self._edge_types(edge)} if edge.direction != "-" else {x for k in self._edge_types(edge) for x in self.graph.endpoint_labels(k)}
-            if not self.asked.get(n) and n not in self.whole and len(labels[there]) == 1 and ends == set(labels[there]):
+            if unread:
                 self.frame = self.frame.withColumn(f"{n}$id", other)
             else:
                 nodes = self._scan_nodes(n, labels[there])
@@ -313,6 +358,7 @@ class Lowering:
                     names.append(f"{i.alias}${part}")
         grouped = self.frame.groupBy(*keys) if keys else self.frame
         self.frame = grouped.agg(*aggregates, *carried).select(*[F.col(f"`{n}`") for n in names])
+        self.weight = None
         self.scope = scope
         if p.final:
             out = []
@@ -458,9 +504,12 @@ class Lowering:
     def _call(self, x: S.Call, local: dict) -> Column:
         name = x.name
         if name == "count":
-            if x.star:
-                return F.count(F.lit(1))
-            return F.count_distinct(self._counted(x.args[0], local)) if x.distinct else F.count(self._counted(x.args[0], local))
+            if x.distinct and not x.star:
+                return F.count_distinct(self._counted(x.args[0], local))
+            if self.weight is not None:
+                weight = F.col(self.weight)
+                return F.coalesce(F.sum(weight if x.star else F.when(self._counted(x.args[0], local).isNotNull(), weight)), F.lit(0))
+            return F.count(F.lit(1) if x.star else self._counted(x.args[0], local))
         args = [self._expr(a, local) for a in x.args]
         if name == "collect":
             return F.sort_array((F.collect_set if x.distinct else F.collect_list)(args[0]))
@@ -511,6 +560,12 @@ class Lowering:
         return F.struct(*[F.col(f"`{c}`").alias(c.split("$", 1)[1]) for c in own])
 
 
+def _counts(p: S.Projection) -> bool:
+    """Whether all that a projection makes of its rows are counts and what doesn't depend on repeated rows."""
+    calls = [x for i in p.items for x in i.expr.walk() if isinstance(x, S.Call) and x.name in S.AGGREGATES]
+    return bool(calls) and all(x.distinct or x.name in ("count", "min", "max") for x in calls)
+
+
 def _direction(c: Column, descending: bool) -> Column:
     return c.desc_nulls_first() if descending else c.asc_nulls_last()
 

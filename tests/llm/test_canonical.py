@@ -80,3 +80,23 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "ref_id long, kind string, canonical string, country string, aliases array<string>")
     one = spark.createDataFrame([(1, "Industry", "ai")], "mention_id long, label string, name string")
     assert [tuple(r) for r in K.resolve(one, p, none).collect()] == [("industry", 1, 0)]
+
+
+def test_no_candidate_is_dropped_before_the_country_is_known(spark):
+    # nine cities of one beginning; the country decides, also for the first and the last of them, and a tie is none
+    names = [f"San {x}" for x in ("Alba", "Bela", "Cora", "Duno", "Evor", "Fira", "Gulo", "Hado", "Ilmo")]
+    home = {"San Alba": "Ostland", "San Ilmo": "Westria", "San Bela": "Nordia", "San Hado": "Nordia"}
+    ref = [(i, "city", n, home.get(n, "Sudia"), []) for i, n in enumerate(names, 1)] + [(20 + i, "country", n, None, []) for i, n in enumerate(("Ostland", "Westria", "Nordia", "Sudia"))]
+    ref = spark.createDataFrame(ref, "ref_id long, kind string, canonical string, country string, aliases array<string>")
+    m = spark.createDataFrame([], "mention_id long, label string, name string")
+    p = spark.createDataFrame([(1, "San", "Ostland"), (2, "San", "Westria"), (3, "San", "Nordia"), (4, "San", "Sudia"), (5, "San", None), (6, "San (Ostland)", None)], "location_id long, city string, country string")
+    assert {r["row_id"]: r["ref_id"] for r in K.resolve(m, p, ref).collect() if r["field"] == "city"} == {1: 1, 2: 9, 3: 0, 4: 0, 5: 0, 6: 1}
+
+
+def test_candidates_are_those_that_may_decide():
+    m = K.Matcher([(i, f"name{i}", []) for i in range(12)])
+    assert len(m.rank([("name", [])], "name", True, False)) == 12
+    # lifted, the second ties with the first, so it counts though it stays below the threshold
+    assert dict(m.candidates([(0.801, "name1"), (0.738, "name2"), (0.73, "name3")])) == {1: 0.801, 2: 0.738}
+    assert dict(m.candidates([(1.0, "name1"), (0.937, "name2"), (0.93, "name3")])) == {1: 1.0, 2: 0.937}
+    assert m.candidates([]) == [] and m.candidates([(0.7, "name1")]) == []

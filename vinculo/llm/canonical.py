@@ -188,13 +188,15 @@ class Matcher:
         if max(scores.values(), default=0) < SURE:
             for e, s in self.repair_whole(joined, short, caps):
                 scores[e] = max(scores.get(e, 0), s)
-        return sorted(((s, e) for e, s in scores.items()), reverse=True)[:6]
+        return sorted(((s, e) for e, s in scores.items()), reverse=True)
 
     def candidates(self, ranked: list[tuple[float, str]]) -> list[tuple[int, float]]:
-        """(item, score) of the entries that a fitting country could lift above the threshold."""
+        """(item, score) of all entries that may decide a row: a fitting country could lift them to the best or a tie with it."""
         best: dict[int, float] = {}
+        # the best of a row is at least this; the last term is for rounding
+        least = max([THRESHOLD, *(s for s, _ in ranked)]) - COUNTRY_BONUS - TIE - 1e-9
         for s, e in ranked:
-            if s >= THRESHOLD - COUNTRY_BONUS:
+            if s >= least:
                 for item in self.forms[e].items:
                     best[item] = max(best.get(item, 0), s)
         return list(best.items())
